@@ -8,7 +8,8 @@ the unchanged text.
 The canonical form of a text is its NFC, with the compatibility forms that do not show (wide and
 narrow forms, ligatures, positional Arabic forms, mathematical alphabets), invisible characters
 removed, every white space a plain space or line feed, hyphens plain, and letters of another
-script that look alike written in the script of their word. Visible differences stay: case, accents, superscripts,
+script that look alike written in the script of their word, or of the
+word before where the word has no other letters. Visible differences stay: case, accents, superscripts,
 fractions and digits of other scripts are not folded.
 
 ``match_key`` folds further for comparison only: look-alike letters of all scripts become one
@@ -98,39 +99,43 @@ def _may_compose_back(ch: str) -> bool:
     return unicodedata.category(ch) in ("Mc", "Mn") or 0x1160 <= ord(ch) <= 0x11FF
 
 
-_ASCII_RUN = re.compile(r"[\x20-\x7e\n\t]*\Z")
-#: A word with letters of two scripts that could be look-alikes, or a word of look-alikes only.
-_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
 _LOOK = re.compile("[" + "".join(map(chr, TO_LATIN)) + "]")
-_LATIN_LETTER = re.compile("[A-Za-zÀ-ɏ]")
 
 
-@lru_cache(4096)
-def _script(ch: str) -> str:
-    return unicodedata.name(ch, "").split(" ")[0]
-
-
-def _unmix(match: re.Match) -> str:
-    word = match[0]
-    if not _LOOK.search(word):
-        if word.isascii():
-            return word
-    elif not _LATIN_LETTER.search(word):
-        scripts = {_script(c) for c in word if c.isalpha()}
-        if len(scripts) == 1 and any(ord(c) not in TO_LATIN for c in unicodedata.normalize("NFD", word) if c.isalpha()):
-            return word  # the usual case: one script, with letters of its own
+@lru_cache(65536)
+def _of_word(word: str) -> tuple[str | None, str]:
+    """(script, form) of a word; None for one made of look-alikes only, which takes the script around it."""
     plain = unicodedata.normalize("NFD", word).translate(TO_LATIN)
-    own = {_script(c) for c in plain if c.isalpha()}
-    others = own - {"LATIN"}
-    if len(others) == 1 and (s := next(iter(others))) in FROM_LATIN:
-        rest = {c for c in plain if c.isalpha() and _script(c) == "LATIN"}
-        if all(ord(c) in FROM_LATIN[s] for c in rest):
-            plain = plain.translate(FROM_LATIN[s])
-        else:
-            return word
-    elif others:
-        return word
-    return unicodedata.normalize("NFC", plain)
+    letters = {c for c in plain if c.isalpha()}
+    own = {unicodedata.name(c, "").split(" ")[0] for c in letters if c not in LATIN}
+    shared = {ord(c) for c in letters if c in LATIN}
+    if not own:
+        return None, plain
+    if own == {"LATIN"}:
+        return "LATIN", unicodedata.normalize("NFC", plain)
+    if len(own) == 1 and (s := next(iter(own))) in FROM_LATIN and shared <= FROM_LATIN[s].keys():
+        return s, unicodedata.normalize("NFC", plain.translate(FROM_LATIN[s]))
+    return "", word  # scripts really mixed, or a script without look-alikes
+
+
+def _unmix(text: str) -> str:
+    """Each word in one script; a word of look-alikes only in that of the nearest word before, else after, else Latin."""
+    found = [(m.start(), m.end(), *_of_word(m[0])) for m in _WORD.finditer(text)]
+    script = next((s for _, _, s, _ in found if s), "LATIN")
+    out, at = [], 0
+    for start, end, own, form in found:
+        if own is None:
+            table = FROM_LATIN.get(script, {})
+            if all(ord(c) in table for c in form if c.isalpha()):
+                form = form.translate(table)
+            form = unicodedata.normalize("NFC", form)
+        elif own:
+            script = own
+        out += (text[at:start], form)
+        at = end
+    out.append(text[at:])
+    return "".join(out)
 
 
 def canonical(text: str | None) -> str | None:
@@ -140,7 +145,7 @@ def canonical(text: str | None) -> str | None:
     text = pattern.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(changed)), text.replace("\r\n", "\n"))
     text = text.replace("\r", "\n")
     if _LOOK.search(text):
-        text = _WORD.sub(_unmix, text)
+        text = _unmix(text)
     return text
 
 
