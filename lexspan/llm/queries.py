@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, splitting, tokenize
+from . import canonical, residue, splitting, tokenize
 from .arrowmap import read, spread
 
 QUERIES: dict = {}
@@ -71,3 +71,22 @@ def p7_round_trip_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["p7_round_trip_failures"] = "SELECT doc_id FROM documents WHERE false"
+
+
+# 9: residue ------------------------------------------------------------------------------------
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_kinds(spark, sf_dir).select("doc_id").distinct()
+
+
+@query
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return documents.join(p9_kinds(spark, sf_dir).select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
