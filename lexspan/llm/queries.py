@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, residue, splitting, tokenize
+from . import canonical, mainbody, residue, splitting, tokenize
 from .arrowmap import read, spread
 
 QUERIES: dict = {}
@@ -90,3 +90,16 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return documents.join(p9_kinds(spark, sf_dir).select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
+# 3: main body of pages -------------------------------------------------------------------------
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.main_body(spread(read(spark, sf_dir, "fetched_pages").select("page_id", "html"))).distinct()
+
+
+@query
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.main_text(spread(read(spark, sf_dir, "fetched_pages").select("page_id", "html"))).distinct()

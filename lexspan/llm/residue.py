@@ -84,7 +84,12 @@ def _any_stem():
     return lambda text: next(automaton.iter(text), None) is not None
 
 
-_has_stem = _any_stem()
+_stem_in = _any_stem()
+
+
+def _has_stem(text: str) -> bool:
+    return _stem_in(text.replace("İ", "i").lower())
+
 #: Words in square brackets that are editorial, not fields.
 _EDITORIAL = re.compile(r"(?i)\[\s*(?:sic|emphasis.*|…|\.{2,}|[\d\s,.;:/–-]+|[ivxlc]+|\w)\s*\]")
 _QUOTED = re.compile(r"«[^«»\n]{0,400}»|“[^“”\n]{0,400}”|„[^„“”\n]{0,400}[“”]|(?<![\w\"])\"[^\"\n]{0,400}\"|「[^」\n]{0,400}」|(?<![\w'])‘[^‘’\n]{0,400}’(?!\w)")
@@ -161,21 +166,21 @@ def judge(text: str | None) -> tuple[str, float] | None:
         return None
     if placeholder(text):
         return "template", 1.0
-    if not _has_stem(text.lower()):
+    if not _has_stem(text):
         return None
     share = dict.fromkeys(("message", "filler", "content"), 0)
     for line in text.split("\n"):
         line = line.strip()
         if not line or _MENU.match(line) or _REMAINS.search(line):
             continue
-        if len(line) <= 60 and _has_stem(line.lower()) and _MESSAGE.search(_QUOTED.sub(" ", line)):
+        if len(line) <= 60 and _has_stem(line) and _MESSAGE.search(_QUOTED.sub(" ", line)):
             share["message"] += len(line)
             continue
         for unit in _SENTENCE.split(line):
             if not unit.strip() or _CODE_ONLY.match(unit) or _REMAINS.search(unit):
                 continue
             plain = _QUOTED.sub(" ", unit)
-            hinted = _has_stem(plain.lower())
+            hinted = _has_stem(plain)
             kind = "filler" if hinted and _FILLER.search(plain) or _filler_words(plain) else "message" if hinted and _MESSAGE.search(plain) else "content"
             share[kind] += len(unit)
     bad = share["message"] + share["filler"]
