@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import canonical, mainbody, residue, splitting, tokenize
+from . import canonical, garble, mainbody, residue, splitting, tokenize
 from .arrowmap import read, spread
 
 QUERIES: dict = {}
@@ -103,3 +104,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.main_text(spread(read(spark, sf_dir, "fetched_pages").select("page_id", "html"))).distinct()
+
+
+# 4: wrong encodings ----------------------------------------------------------------------------
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text")
+    pages = read(spark, sf_dir, "fetched_pages").select("page_id", "text")
+    fitted = garble.fit([(judgments, "clean_text", "source_id"), (pages, "text", "page_id")])
+    both = judgments.select(F.lit("judgments").alias("tab"), F.col("source_id").alias("rec_key"), F.col("clean_text").alias("text")).unionByName(
+        pages.select(F.lit("fetched_pages").alias("tab"), F.col("page_id").cast("string").alias("rec_key"), "text")
+    )
+    return garble.repair(spread(both), ["tab", "rec_key"], "text", fitted)
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).where("garbled").select("tab", "rec_key").distinct()
+
+
+@query
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).where("garbled").select("tab", "rec_key", "restored", "repaired").distinct()
