@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, garble, mainbody, residue, splitting, tokenize
+from . import canonical, garble, languages, mainbody, residue, splitting, tokenize
 from .arrowmap import read, spread
 
 QUERIES: dict = {}
@@ -127,3 +127,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired(spark, sf_dir).where("garbled").select("tab", "rec_key", "restored", "repaired").distinct()
+
+
+# 1: languages ----------------------------------------------------------------------------------
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = p1_languages(spark, sf_dir)
+    return judged.where("block_no > 0 or not hint_ok").select("source_id", "block_no", "lang").distinct()
+
+
+@query
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text", "language_hint")
+    return languages.languages(spread(judgments), languages.fit(judgments))
