@@ -39,8 +39,6 @@ TRAIN_RECORDS, TRAIN_CHARS, MAX_TRIGRAMS = 1500, 400_000, 120_000
 BLOCK_MARGIN, BLOCK_LETTERS = 0.30, 12
 #: Letters that suffice where the block is in its language's own script and the document's language has another.
 SCRIPT_LETTERS = 5
-_OWN_SCRIPT = {"el": "Ͱ-Ͽἀ-῿", "ru": "Ѐ-ӿ", "bg": "Ѐ-ӿ", "ar": "؀-ۿ", "zh": "㐀-鿿", "hi": "ऀ-ॿ", "th": "฀-๿", "hy": "԰-֏"}
-_OWN = {code: re.compile(f"[{_OWN_SCRIPT.get(code, 'A-Za-zÀ-ɏ')}]") for code in NAMES}
 #: From this lead on a block's letters count in full towards the main language.
 CLEAR = 0.2
 #: Sharpness of the confidence.
@@ -64,6 +62,10 @@ NAMES = {
 }
 _NAME_OF = {name: code for code, names in NAMES.items() for name in names.split()}
 
+#: The script each language is usually written in.
+_OWN_SCRIPT = {"el": "Ͱ-Ͽἀ-῿", "ru": "Ѐ-ӿ", "bg": "Ѐ-ӿ", "ar": "؀-ۿ", "zh": "㐀-鿿", "hi": "ऀ-ॿ", "th": "฀-๿", "hy": "԰-֏"}
+_OWN = {code: re.compile(f"[{_OWN_SCRIPT.get(code, 'A-Za-zÀ-ɏ')}]") for code in NAMES}
+
 #: Latin spellings of letters of other alphabets.
 LATIN_OF = {
     "el": dict(zip("αβγδεζηθικλμνξοπρστυφχψως", "a v g d e z i th i k l m n x o p r s t y f ch ps o s".split())),
