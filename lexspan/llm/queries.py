@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, garble, languages, mainbody, residue, splitting, tokenize
+from . import canonical, garble, languages, mainbody, packing, residue, sentences, splitting, tokenize
 from .arrowmap import read, spread
 
 QUERIES: dict = {}
@@ -142,3 +142,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text", "language_hint")
     return languages.languages(spread(judgments), languages.fit(judgments))
+
+
+# 2: sentences ----------------------------------------------------------------------------------
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = read(spark, sf_dir, "passages").select("source_id", "ordinal", "text")
+    return sentences.sentences(spread(passages), sentences.fit(passages)).distinct()
+
+
+# 8: packing ------------------------------------------------------------------------------------
+
+
+@query
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return packing.pack(documents, _capacity(spark, sf_dir))
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, sf_dir), _capacity(spark, sf_dir))
+
+
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    return read(spark, sf_dir, "size_limits").where("limit_name = 'container'").agg(F.max("max_size")).first()[0]
