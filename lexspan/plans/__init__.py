@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import evidence_queries, model_queries, relational_queries, report_queries, segment_queries, source_queries, span_queries, text_queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["text_features"](spark, sf_dir)
+    return QUERIES["segment_diagnostics"](spark, sf_dir)
