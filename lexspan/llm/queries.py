@@ -135,13 +135,13 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = p1_languages(spark, sf_dir)
-    return judged.where("block_no > 0 or not hint_ok").select("source_id", "block_no", "lang").distinct()
+    return judged.where("block_no > 0 or not hint_ok").select("source_id", "block_no", "lang")
 
 
 @query
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text", "language_hint")
-    return languages.languages(spread(judgments), languages.fit(judgments))
+    return languages.languages(spread(judgments), languages.fit(judgments)).distinct()
 
 
 # 2: sentences ----------------------------------------------------------------------------------
