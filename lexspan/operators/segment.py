@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: A stretch of line feeds with an empty line between.
 BLANK = r"\n[ \t]*\n\s*"
-_MARK = "\x1f"
 
 
 def blocks(text: Column, few_blocks: int = 5, many_lines: int = 12) -> Column:
@@ -33,15 +32,17 @@ def merge_fragments(parts: Column, abbreviations: Sequence[str]) -> Column:
     """
     ending = "(?:^|[\\s(])(?:" + "|".join(a.replace(".", "\\.") for a in abbreviations) + ")\\.$"
 
-    def step(done: Column, part: Column) -> Column:
-        last = F.element_at(F.split(done, _MARK), -1)
+    def step(state: Column, part: Column) -> Column:
+        last = state["last"]
         count = lambda chars: F.length(last) - F.length(F.translate(last, chars, ""))
         open_ = (count("(") > count(")")) | (count("«") > count("»")) | (count("“") > count("”"))
         joined = open_ | F.regexp_like(last, F.lit(ending)) | F.regexp_like(part, F.lit(r"^\p{Ll}"))
-        return F.concat(done, F.when(joined, F.lit(" ")).otherwise(F.lit(_MARK)), part)
+        grown = F.struct(state["out"].alias("out"), F.concat(last, F.lit(" "), part).alias("last"))
+        return F.when(joined, grown).otherwise(F.struct(F.concat(state["out"], F.array(last)).alias("out"), part.alias("last")))
 
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.split(F.aggregate(rest, F.element_at(parts, 1), step), _MARK)
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.element_at(parts, 1).alias("last"))
+    return F.aggregate(rest, start, step, lambda state: F.concat(state["out"], F.array(state["last"])))
 
 
 def located(documents: DataFrame, key: str, text_col: str, parts_col: str) -> DataFrame:
@@ -64,11 +65,12 @@ def passages(documents: DataFrame, key: str, text_col: str, abbreviations: Seque
     """(key, id, ordinal, block_id, text, rel_pos) of documents long enough: blocks, sentences, merged fragments.
 
     A projection and one explode: documents are cut where they are read, without a shuffle. Nothing here
-    depends on other rows; the relative position follows from the array's size.
+    depends on other rows; the relative position follows from the array's size. (The outer form of explode
+    keeps the optimizer from deriving a filter that would compute all pieces a second time.)
     """
     kept = documents.where(F.length(F.col(text_col)) >= shortest).select(key, blocks(F.col(text_col)).alias("__blocks"))
     nested = F.transform("__blocks", lambda b, i: F.transform(merge_fragments(rough_sentences(b), abbreviations), lambda s: F.struct((i + 1).alias("block"), s.alias("text"))))
-    flat = kept.select(key, F.flatten(nested).alias("__all")).select(key, F.size("__all").alias("__n"), F.posexplode("__all").alias("__i", "__p"))
+    flat = kept.select(key, F.flatten(nested).alias("__all")).select(key, F.size("__all").alias("__n"), F.posexplode_outer("__all").alias("__i", "__p")).where("__p is not null")
     position = F.when(F.col("__n") == 1, F.lit(1.0)).otherwise(F.floor(F.col("__i") / (F.col("__n") - 1) * 1_000_000 + F.lit(0.5)) / F.lit(1_000_000.0))
     return flat.select(
         key, F.format_string("P%06d", F.col("__i") + 1).alias("id"), (F.col("__i") + 1).alias("ordinal"), F.format_string("B%05d", F.col("__p.block")).alias("block_id"),

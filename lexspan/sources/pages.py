@@ -24,12 +24,12 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*.html", largest: in
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(path, text) with a whole file in each row."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_json_texts(spark: SparkSession, path: str, keys: Sequence[str] = ("text", "content")) -> DataFrame:
     """(path, text) of JSON files: a string, or an object with the text under one of ``keys``."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.input_file_name().alias("path"), F.trim("value").alias("value"))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.trim("value").alias("value"))
     plain = F.when(F.startswith("value", F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v"))
     return raw.select("path", F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in keys], plain).alias("text"))
 
