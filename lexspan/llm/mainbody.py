@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame
 
 from .arrowmap import arrow_map
 
+#: What a page without a line repeating its title must have to count as a text, in sentences and characters.
+LEAST_SENTENCES, LEAST_CHARS = 5, 400
+
 _TOKEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!\[?[A-Za-z][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"\n]*\"|'[^'\n]*')*|[^>]*)>", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|</head)", re.S | re.I)
 _BODY = re.compile(r"<body\b[^>]*>", re.I)
@@ -38,7 +41,7 @@ _SPACE = re.compile(r"\s+")
 
 #: Words by which page remains give themselves away, whatever their place. Seen after entities are decoded and case is folded.
 _FOOTER = re.compile(
-    r"^\W*©|^\W*\(c\)\s*\d{4}\b|all rights reserved|δικαιώματα διατηρούνται|hakları saklıdır|provided for information|not legal advice|no liability for|παρέχεται για ενημέρωση|νομική συμβουλή|δεν φέρει ευθύνη|bilgi amaçlıdır|hukuki görüş|sorumluluk kabul"
+    r"^(?:ã‚)?[âβв]?\W?©\s|^\W*\(c\)\s*\d{4}\b|all rights reserved|δικαιώματα διατηρούνται|hakları saklıdır|provided for information|not legal advice|no liability for|παρέχεται για ενημέρωση|νομική συμβουλή|δεν φέρει ευθύνη|bilgi amaçlıdır|hukuki görüş|sorumluluk kabul"
     r"|^\W*(?:last updated|updated on|τελευταία ενημέρωση|son güncelleme|visits|page views|επισκέψεις|ziyaret(?:ler|çi)?)\W*[:\d]"
     r"|^(?:terms|privacy|sitemap|όροι χρήσης|απόρρητο|χάρτης ιστοτόπου|koşullar|gizlilik|site haritası)\s*[|·]"
 )
@@ -189,7 +192,7 @@ def body_lines(html: str | None) -> list[int]:
     # the title line: the one repeating the page's title, else (damaged titles) a heading with the same figures
     anchors = [no for no, t in texts.items() if t == page.title] if page.title else []
     if not anchors and len(figures := _figures(page.title)) >= 5:
-        anchors = [no for no, t in texts.items() if _figures(t) == figures and abs(len(t) - len(page.title)) <= 3 and not any(link for _, link, _ in lines[no])]
+        anchors = [no for no, t in texts.items() if _figures(t) == figures and len(page.title) <= 2 * len(t) <= 4 * len(page.title) and not any(link for _, link, _ in lines[no])]
     if anchors:
         start = anchors[0]
         holder = page.parent[lines[start][0][0]]
@@ -203,7 +206,7 @@ def body_lines(html: str | None) -> list[int]:
         end = min((c for node in page.above(holder) if (c := page.close[node]) is not None), default=10**9) if holder else 10**9
     else:
         sentences = [t for no, t in texts.items() if len(t) > 40 and t[-1] in ".!?;;»”\"" and not any(k for _, k, _ in lines[no]) and any(best in page.above(n) for n, _, _ in lines[no])]
-        if len(sentences) < 3:
+        if len(sentences) < LEAST_SENTENCES or sum(map(len, sentences)) < LEAST_CHARS:
             return []
         start, end, region = 0, page.close[best] or 10**9, best
 
@@ -219,7 +222,7 @@ def body_lines(html: str | None) -> list[int]:
         low = text.lower().replace("i̇", "i")
         if no != start:
             path = page.above(node)
-            if any(page.tag[x] in ("aside", "footer", "nav") for x in path if x > region) or _FOOTER.search(low):
+            if any(page.tag[x] in ("aside", "footer", "nav", "small") for x in path if x > region) or _FOOTER.search(low) or text.count(" | ") >= 2:
                 break
             linked = all(link for _, link, _ in runs)
             if page.tag[node] in ("h3", "h4", "h5", "h6") and (_SIDE_HEAD.match(low) or _side_list(page, lines, order[at + 1 : at + 2])):
