@@ -41,6 +41,8 @@ BLOCK_MARGIN, BLOCK_LETTERS = 0.30, 12
 SCRIPT_LETTERS = 5
 #: From this lead on a block's letters count in full towards the main language.
 CLEAR = 0.2
+#: ASCII letters and digits in a row that may still be a word.
+LONGEST_WORD = 40
 #: Sharpness of the confidence.
 TEMPERATURE = 12.0
 
@@ -151,11 +153,23 @@ LUT, SCRIPT, CLASSES = _letters()
 _MIXED = re.compile("[A-Za-z][Ͱ-ϿЀ-ԯ]|[Ͱ-ϿЀ-ԯ][A-Za-z]")
 
 
+def _no_codes(cps: np.ndarray, ids: np.ndarray) -> None:
+    """Unbroken runs of ASCII letters and digits that no word is long enough for are codes, not text."""
+    low = cps | 32
+    run = np.concatenate(([False], ((cps >= 48) & (cps <= 57)) | ((low >= 97) & (low <= 122)), [False]))
+    edges = np.flatnonzero(run[1:] != run[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    long = ends - begins > LONGEST_WORD
+    for a, b in zip(begins[long], ends[long]):
+        ids[a:b] = 1
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the letter trigrams of all texts, and of each the number of its text."""
     joined = "\n".join([*texts, ""])
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ids = LUT[np.minimum(cps, 0x10000)]
+    _no_codes(cps, ids)
     owner = np.cumsum(cps == 10)
     if "\n" in "".join(texts):
         raise ValueError("texts must hold no line feed")
