@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("available", "unavailable", "indeterminate", "conflicted")
@@ -91,8 +91,10 @@ def gate(scores: DataFrame, threshold: int, placeholder: str) -> DataFrame:
 def upsert(claims: DataFrame, changes: DataFrame, version: str = "version") -> DataFrame:
     """Last write wins for each (document, field): the greatest version of both tables, changes before claims at a tie."""
     both = claims.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy("source_id", "field_path").orderBy(F.col(version).desc(), F.col("__new").desc())
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
+    keys = ["source_id", "field_path"]
+    rest = [c for c in claims.columns if c not in keys]
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, "__new", *[c for c in rest if c != version])).alias("__best"))
+    return best.select(*keys, "__best.*").select(*claims.columns)
 
 
 def fields_long(records: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

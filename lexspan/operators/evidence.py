@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NO_BREAK
@@ -82,6 +82,6 @@ def verdicts(anchors: DataFrame, passages: DataFrame, rules: Sequence[Rule]) ->
 
 def first_of_each_quote(anchors: DataFrame) -> DataFrame:
     """One anchor for each (source, field, quote in comparison form): the least id."""
-    w = Window.partitionBy("source_id", "field_path", "__q").orderBy("anchor_id")
-    marked = anchors.withColumn("__q", evidence_form("quote")).withColumn("__n", F.row_number().over(w))
-    return marked.where("__n = 1").drop("__q", "__n")
+    columns = F.struct(*anchors.columns)
+    best = anchors.withColumn("__q", evidence_form("quote")).groupBy("source_id", "field_path", "__q").agg(F.min_by(columns, "anchor_id").alias("__best"))
+    return best.select("__best.*")

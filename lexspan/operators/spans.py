@@ -6,12 +6,15 @@ passage takes the best supported label of the candidates over it; runs of equal
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ordinals that share a range where runs are numbered.
+RANGE = 50_000
 #: Nothing voted here.
 DEFAULT_KIND, DEFAULT_SPEAKER = "other", "unknown"
 #: Bonus for a vote from inside a candidate, for agreement, and the lead below which a label is doubtful.
@@ -63,14 +66,26 @@ def assignments(passages: DataFrame, voted: DataFrame, key: str = "source_id") -
     )
 
 
-def islands(assigned: DataFrame, key: str = "source_id", label: Sequence[str] = ("kind", "speaker")) -> DataFrame:
-    """(key, span_no, labels, start_ordinal, end_ordinal, confidence, heading, passages): runs of equal labels."""
-    w = Window.partitionBy(key).orderBy("ordinal")
-    changed = F.lit(False)
+def islands(assigned: DataFrame, key: str = "source_id", label: Sequence[str] = ("kind", "speaker"), width: int = RANGE) -> DataFrame:
+    """(key, span_no, labels, start_ordinal, end_ordinal, confidence, heading, passages): runs of equal labels.
+
+    Runs are numbered within ranges of ordinals, so that a document of any size is spread; a range's
+    summary (its runs, first and last label) tells where its numbers begin and whether its first run goes on
+    from the range before. A run over many ranges is one group of the final aggregate.
+    """
+    cut = assigned.withColumn("__range", F.floor(F.col("ordinal") / width))
+    w = Window.partitionBy(key, "__range").orderBy("ordinal")
+    changed = F.lag("ordinal").over(w).isNull()
     for name in label:
         changed = changed | ~F.col(name).eqNullSafe(F.lag(name).over(w))
-    marked = assigned.withColumn("__first", (F.lag("ordinal").over(w).isNull() | changed).cast("int"))
-    runs = marked.withColumn("span_no", F.sum("__first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = cut.withColumn("__first", changed.cast("int")).withColumn("__no", F.sum("__first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = F.struct(*label)
+    summary = local.groupBy(key, "__range").agg(F.max("__no").alias("__n"), F.min_by(both, "ordinal").alias("__head"), F.max_by(both, "ordinal").alias("__tail"))
+    across = Window.partitionBy(key).orderBy("__range")
+    goes_on = F.coalesce((F.col("__head") == F.lag("__tail").over(across)).cast("int"), F.lit(0))
+    numbered = summary.withColumn("__on", goes_on)
+    before = F.coalesce(F.sum("__n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__on").over(across.rowsBetween(Window.unboundedPreceding, 0))
+    runs = local.join(numbered.select(key, "__range", before.alias("__before")), [key, "__range"]).withColumn("span_no", F.col("__before") + F.col("__no"))
     return runs.groupBy(key, "span_no", *label).agg(
         F.min("ordinal").alias("start_ordinal"),
         F.max("ordinal").alias("end_ordinal"),
@@ -120,36 +135,116 @@ def merge_runs(runs: list[dict], speakers: dict[frozenset, str] | None = None, u
     return out
 
 
+def _smooth_stream(longest: int = 3):
+    """Feed (label, absorbable) in order; labels come out once nothing can change them. Holds a few places, not a document."""
+    before: list = []  # the label before the pending places, if any
+    pending: list[tuple] = []
+
+    def settle(after) -> list[tuple]:
+        out = [p for p in pending]
+        if out and before and before[0] == after != out[0]:
+            out = [before[0]] * len(out)
+        if out:
+            before[:] = [out[-1]]
+        pending.clear()
+        return out
+
+    def feed(label: tuple, absorbable: bool) -> list[tuple]:
+        if absorbable and len(pending) < longest:
+            pending.append(label)
+            return []
+        out = settle(label)
+        if absorbable:
+            pending.append(label)
+            return out
+        before[:] = [label]
+        return [*out, label]
+
+    return feed, lambda: settle(None)
+
+
+def _streamed(rows: DataFrame, key: str, order: str, schema: str, fold) -> DataFrame:
+    """Documents in order, each in one task, passing through as a stream: what a fold holds is all that is held."""
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
+
+
 def smoothed(assigned: DataFrame, passages: DataFrame, separator: str = r"^[\s_\-–—=·•.*]{3,}$", key: str = "source_id") -> DataFrame:
-    """The assignment with short interruptions absorbed. A document is folded over its labels alone, not its texts."""
+    """The assignment with short interruptions absorbed. Documents stream by their labels alone, not their texts."""
     marks = passages.select(key, "ordinal", F.regexp_like("text", F.lit(separator)).alias("__separator"))
     rows = assigned.join(marks, [key, "ordinal"], "left").select(*assigned.columns, (~F.col("voted") | F.coalesce("__separator", F.lit(False))).alias("absorbable"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in assigned.schema) + ", changed boolean"
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ordinal")
-        before = list(zip(table.column("kind").to_pylist(), table.column("speaker").to_pylist()))
-        after = smooth_labels(before, table.column("absorbable").to_pylist())
-        table = table.set_column(table.schema.get_field_index("kind"), "kind", pa.array([k for k, _ in after], pa.string()))
-        table = table.set_column(table.schema.get_field_index("speaker"), "speaker", pa.array([s for _, s in after], pa.string()))
-        return table.drop_columns(["absorbable"]).append_column("changed", pa.array([a != b for a, b in zip(before, after)]))
-
-    return rows.groupBy(key).applyInArrow(fold, schema)
+    columns = assigned.columns
+    kind_at, speaker_at, key_at = columns.index("kind"), columns.index("speaker"), columns.index(key)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feed = finish = current = arrow = None
+        waiting: deque[list] = deque()
+
+        def emit(labels: list[tuple], out: list[list]) -> None:
+            for kind, speaker in labels:
+                row = waiting.popleft()
+                changed = (row[kind_at], row[speaker_at]) != (kind, speaker)
+                row[kind_at], row[speaker_at] = kind, speaker
+                out.append([*row, changed])
+
+        def batch_of(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*arrow.types[: len(columns)], pa.bool_()])], names=[*columns, "changed"])
+
+        for batch in batches:
+            arrow, out = batch.schema, []
+            for *row, absorbable in zip(*(c.to_pylist() for c in batch.columns)):
+                if current != [row[key_at]]:
+                    if finish:
+                        emit(finish(), out)
+                    (feed, finish), current = _smooth_stream(), [row[key_at]]
+                waiting.append(row)
+                emit(feed((row[kind_at], row[speaker_at]), absorbable), out)
+            if out:
+                yield batch_of(out)
+        if finish and waiting:
+            emit(finish(), last := [])
+            yield batch_of(last)
+
+    return _streamed(rows, key, "ordinal", schema, fold)
 
 
 def merged(spans: DataFrame, key: str = "source_id", pairs: dict[frozenset, str] | None = None) -> DataFrame:
-    """Spans of a document merged from left to right and numbered again."""
+    """Spans of a document merged from left to right and numbered again; one span is held at a time."""
+    names = [key, "span_no", "kind", "speaker", "start_ordinal", "end_ordinal", "confidence", "heading", "passages"]
     kind = spans.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, span_id string, kind string, speaker string, start_ordinal int, end_ordinal int, confidence double, heading string, passages bigint"
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = merge_runs(table.sort_by("span_no").to_pylist(), pairs)
-        names = ["kind", "speaker", "start_ordinal", "end_ordinal", "confidence", "heading", "passages"]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int64()]
-        cols = [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)]
-        return pa.table([pa.array([r[key] for r in rows], table.schema.field(key).type), pa.array([f"S{i:05d}" for i in range(1, len(rows) + 1)]), *cols], names=[key, "span_id", *names])
-
-    return spans.select(key, "span_no", "kind", "speaker", F.col("start_ordinal").cast("int"), F.col("end_ordinal").cast("int"), "confidence", "heading", "passages").groupBy(key).applyInArrow(fold, schema)
+    rows = spans.select(key, "span_no", "kind", "speaker", F.col("start_ordinal").cast("int"), F.col("end_ordinal").cast("int"), "confidence", "heading", "passages")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict | None = None
+        number, types = 0, None
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[key, "span_id", *names[2:]])
+
+        def done() -> tuple:
+            return (held[key], f"S{number:05d}", *(held[n] for n in names[2:]))
+
+        for batch in batches:
+            types = [batch.schema.field(key).type, pa.string(), *(batch.schema.field(n).type for n in names[2:])]
+            out = []
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                run = dict(zip(names, values))
+                if held is not None and held[key] == run[key]:
+                    both = merge_runs([held, run], pairs)
+                    if len(both) == 1:
+                        held = both[0]
+                        continue
+                if held is not None:
+                    out.append(done())
+                number = number + 1 if held is not None and held[key] == run[key] else 1
+                held = run
+            if out:
+                yield batch_of(out)
+        if held is not None:
+            yield batch_of([done()])
+
+    return _streamed(rows, key, "span_no", schema, fold)
 
 
 def covers(spans: DataFrame, passages: DataFrame, key: str = "source_id") -> DataFrame:

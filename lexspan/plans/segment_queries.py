@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..operators import segment as S
 from .registry import query, table
 from .text_queries import judgments, passages
@@ -63,11 +64,7 @@ SELECT source_id, ordinal, CASE WHEN n = 1 THEN 1.0 ELSE floor((rn - 1)::DOUBLE
 FROM (SELECT source_id, ordinal, row_number() OVER (PARTITION BY source_id ORDER BY ordinal) AS rn, count(*) OVER (PARTITION BY source_id) AS n FROM (SELECT DISTINCT source_id, ordinal FROM passages))
 """)
 def segment_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    keys = table(spark, sf_dir, "passages").select("source_id", "ordinal").distinct()
-    w = Window.partitionBy("source_id")
-    numbered = keys.select("source_id", "ordinal", F.row_number().over(w.orderBy("ordinal")).alias("rn"), F.count("*").over(w).alias("n"))
+    numbered = ordered.numbered(table(spark, sf_dir, "passages").select("source_id", "ordinal").distinct(), "source_id", "ordinal")
     rel = F.when(F.col("n") == 1, F.lit(1.0)).otherwise(F.floor((F.col("rn") - 1) / (F.col("n") - 1) * 1_000_000 + F.lit(0.5)) / F.lit(1_000_000.0))
     return numbered.select("source_id", "ordinal", rel.alias("rel_pos"), F.format_string("P%06d", "rn").alias("id"))
 

@@ -45,6 +45,37 @@ def test_smoothing_sees_earlier_changes():
     assert spans.smooth_labels([], []) == []
 
 
+@given(st.lists(st.tuples(st.sampled_from("abo"), st.booleans()), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_smoothing_stream_equals_the_fold(places):
+    labels, absorbable = [(x, "") for x, _ in places], [y for _, y in places]
+    feed, finish = spans._smooth_stream()
+    out = [x for label, can in zip(labels, absorbable) for x in feed(label, can)] + finish()
+    assert out == spans.smooth_labels(labels, absorbable)
+
+
+@pytest.mark.parametrize("width", [3, 7, 1000])
+def test_runs_over_ranges(spark, width):
+    rnd = random.Random(width)
+    rows = []
+    for key in "xy":
+        label = "a"
+        for i in sorted(rnd.sample(range(60), 45)):
+            label = rnd.choice("ab") if rnd.random() < 0.3 else label
+            rows.append((key, i, label, "s", 0.5, "h" if i % 9 == 0 else ""))
+    df = spark.createDataFrame(rows, "source_id string, ordinal int, kind string, speaker string, mean double, heading string")
+    want = set()
+    for key in "xy":
+        mine, no = [r for r in rows if r[0] == key], 0
+        for j, r in enumerate(mine):
+            if j == 0 or mine[j - 1][2] != r[2]:
+                no += 1
+                start = r[1]
+            if j + 1 == len(mine) or mine[j + 1][2] != r[2]:
+                want.add((key, no, r[2], start, r[1]))
+    assert {(r.source_id, r.span_no, r.kind, r.start_ordinal, r.end_ordinal) for r in spans.islands(df, width=width).collect()} == want
+
+
 def test_merge_is_transitive():
     run = lambda s, n: {"kind": "k", "speaker": s, "start_ordinal": n, "end_ordinal": n, "confidence": 0.5, "heading": "", "passages": 1}
     merged = spans.merge_runs([run("unknown", 1), run("x", 2), run("unknown", 3), run("y", 4)])
