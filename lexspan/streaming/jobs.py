@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,22 +51,18 @@ def job_states(requests: DataFrame, job: str = "job_id", kind: str = "kind", tim
     return requests.groupBy(job).agg(F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.max_by(kind, F.struct(time, kind)).alias("last_kind"), F.count("*").alias("events"))
 
 
-def upsert_into(path: str, keys: list[str], version: str):
-    """A foreachBatch function that keeps the last version of each key in a table of parquet files."""
+def append_versions(path: str):
+    """A foreachBatch function that writes each batch to a folder of its own; a batch tried again replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/v{batch_id}"
-        try:
-            with open(f"{path}/current") as f:
-                old = spark.read.parquet(f.read())
-            both = old.unionByName(batch)
-        except FileNotFoundError:
-            both = batch
-        columns = [c for c in both.columns if c not in keys]
-        best = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(version, *[c for c in columns if c != version])).alias("r")).select(*keys, "r.*")
-        best.select(*both.columns).write.mode("overwrite").parquet(target)
-        with open(f"{path}/current", "w") as f:
-            f.write(target)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def current_versions(spark: SparkSession, path: str, keys: list[str], version: str) -> DataFrame:
+    """The last version of each key among all batches written by :func:`append_versions`; of equals the later batch."""
+    log = spark.read.parquet(path)
+    columns = [c for c in log.columns if c not in (*keys, "batch")]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(version, "batch", *[c for c in columns if c != version])).alias("r"))
+    return best.select(*keys, "r.*")
