@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -30,6 +31,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
+def bounded_sample(df: DataFrame, columns: Sequence[str], rows: int) -> list[tuple]:
+    """About ``rows`` distinct rows of ``columns``, never more than twice as many, in order of a hash of their content.
+
+    Rows whose first column is null are left out. Rows are taken by a threshold of the hash, which follows from their number alone: only the sample leaves
+    the executors, and it is the same however the input is partitioned. Copies of a row count once.
+    """
+    total = df.count()  # from the files' footers
+    sampled = df.select(*columns).where(F.col(columns[0]).isNotNull()).withColumn("__h", F.xxhash64(*columns))
+    if total > rows:
+        sampled = sampled.where(F.col("__h") <= F.lit(-(2**63) + int(2**64 * rows / total)))
+    found = sampled.distinct().limit(2 * rows).collect()
+    return [tuple(r)[:-1] for r in sorted(found, key=lambda r: r["__h"])]
+
+
 def arrow_map(df: DataFrame, columns: Sequence[str], schema: str, factory: Callable[[], ChunkFn], chunk: int = CHUNK_ROWS) -> DataFrame:
     """Map ``columns`` of ``df`` through ``factory()``; the result has exactly ``schema``.
 

@@ -27,8 +27,9 @@ import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .arrowmap import arrow_map
+from .arrowmap import arrow_map, bounded_sample
 from .canonical import canonical
 from .seeds import SEEDS
 
@@ -372,12 +373,10 @@ def judge(model: Profiles, texts: list[str | None]) -> list[tuple[str | None, fl
     return out
 
 
-def fit(judgments: DataFrame, text_col: str = "clean_text", hint_col: str = "language_hint", key_col: str = "source_id"):
+def fit(judgments: DataFrame, text_col: str = "clean_text", hint_col: str = "language_hint"):
     """A broadcast of the prototypes and the trigram table (at most MAX_TRIGRAMS rows), trained on a bounded sample."""
-    from pyspark.sql import functions as F
-
-    rows = judgments.where(F.col(text_col).isNotNull()).select(text_col, hint_col, F.xxhash64(F.col(key_col).cast("string")).alias("__h")).orderBy("__h", text_col).limit(TRAIN_RECORDS).collect()
-    return judgments.sparkSession.sparkContext.broadcast(train([(r[0], r[1]) for r in rows]))
+    rows = bounded_sample(judgments, [text_col, hint_col], TRAIN_RECORDS)
+    return judgments.sparkSession.sparkContext.broadcast(train(rows))
 
 
 def languages(judgments: DataFrame, fitted, key_col: str = "source_id", text_col: str = "clean_text", hint_col: str = "language_hint") -> DataFrame:

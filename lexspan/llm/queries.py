@@ -112,7 +112,7 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text")
     pages = read(spark, sf_dir, "fetched_pages").select("page_id", "text")
-    fitted = garble.fit([(judgments, "clean_text", "source_id"), (pages, "text", "page_id")])
+    fitted = garble.fit([(judgments, "clean_text"), (pages, "text")])
     both = judgments.select(F.lit("judgments").alias("tab"), F.col("source_id").alias("rec_key"), F.col("clean_text").alias("text")).unionByName(
         pages.select(F.lit("fetched_pages").alias("tab"), F.col("page_id").cast("string").alias("rec_key"), "text")
     )
