@@ -15,7 +15,7 @@ looks when read in a usual wrong encoding; all stand for the one language.
 Prototypes are trained on seed texts and on blocks of a bounded sample of records whose hint and
 seed verdict agree.
 
-Defined results: null and blank texts have no language and no rows; a block without enough letters
+Defined results: null and blank texts, and texts without letters whose title doesn't tell either, have no language and no rows; a block without enough letters
 or without a clear verdict goes with the document; confidence is the softmax of the cosines and lies in
 (0, 1]. Hints are read as codes, three-letter codes, names or native names, with any case and region.
 """
@@ -334,8 +334,27 @@ def blocks_of(text: str) -> list[str]:
     return text.split("\n\n")
 
 
-def judge(model: Profiles, texts: list[str | None]) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
-    """Of each text its main language, confidence, and the (number, language, confidence) of its blocks in another."""
+_LOST = re.compile("�|\\?{2,}")
+
+
+def _lost(text: str) -> int:
+    """Characters that became replacement or question marks."""
+    return sum(len(m) for m in _LOST.findall(text)) if "�" in text or "??" in text else 0
+
+
+def _of_script(text: str | None) -> str | None:
+    """The language of a text in a script that only one language of the corpus has."""
+    counts = {c: len(p.findall(text)) for c, p in _OWN.items() if c in _OWN_SCRIPT and c not in ("ru", "bg")} if text else {}
+    best = max(counts, key=counts.get, default=None)
+    return best if best and counts[best] >= SCRIPT_LETTERS else None
+
+
+def judge(model: Profiles, texts: list[str | None], titles: list[str | None] | None = None) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
+    """Of each text its main language, confidence, and the (number, language, confidence) of its blocks in another.
+
+    A block with more lost characters than letters has no verdict. A text without any verdict has the language of
+    its title if that is in a script of one language, at confidence 0.5, else none.
+    """
     flat, owner = [], []
     for i, text in enumerate(texts):
         if text and not text.isspace():
@@ -353,8 +372,11 @@ def judge(model: Profiles, texts: list[str | None]) -> list[tuple[str | None, fl
         to = at
         while to < len(flat) and owner[to][0] == i:
             to += 1
-        s, k = score[at:to], n[at:to]
-        if k.sum():
+        s, k = score[at:to], n[at:to].copy()
+        k[[_lost(flat[b]) > n[b] for b in range(at, to)]] = 0
+        if not k.sum() and titles is not None and (told := _of_script(titles[i])):
+            out[i] = (told, 0.5, [])
+        elif k.sum():
             first = s.argmax(1)
             weight = np.zeros(len(langs))
             np.add.at(weight, first, k * np.clip(s[np.arange(len(s)), first] - np.partition(s, -2, axis=1)[:, -2], 0.01, CLEAR))
@@ -379,7 +401,7 @@ def fit(judgments: DataFrame, text_col: str = "clean_text", hint_col: str = "lan
     return judgments.sparkSession.sparkContext.broadcast(train(rows))
 
 
-def languages(judgments: DataFrame, fitted, key_col: str = "source_id", text_col: str = "clean_text", hint_col: str = "language_hint") -> DataFrame:
+def languages(judgments: DataFrame, fitted, key_col: str = "source_id", text_col: str = "clean_text", hint_col: str = "language_hint", title_col: str | None = None) -> DataFrame:
     """(key, block_no, lang, confidence, hint_ok): row 0 for each text, and one for each block in another language.
 
     One pass over three columns without a shuffle.
@@ -390,9 +412,9 @@ def languages(judgments: DataFrame, fitted, key_col: str = "source_id", text_col
         model = fitted.value.ready()
 
         def chunk(cols):
-            keys, texts, hints = cols
+            keys, texts, hints, *titles = cols
             out = []
-            for key, hint, (main, confidence, others) in zip(keys, hints, judge(model, texts)):
+            for key, hint, (main, confidence, others) in zip(keys, hints, judge(model, texts, *titles)):
                 if main is not None:
                     out.append((key, 0, main, confidence, normalize_hint(hint) == main))
                     out += [(key, no, lang, c, True) for no, lang, c in others]
@@ -400,4 +422,5 @@ def languages(judgments: DataFrame, fitted, key_col: str = "source_id", text_col
 
         return chunk
 
-    return arrow_map(judgments, [key_col, text_col, hint_col], f"{key_col} {kind}, block_no int, lang string, confidence double, hint_ok boolean", factory)
+    columns = [key_col, text_col, hint_col, *([title_col] if title_col else [])]
+    return arrow_map(judgments, columns, f"{key_col} {kind}, block_no int, lang string, confidence double, hint_ok boolean", factory)

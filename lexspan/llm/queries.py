@@ -140,8 +140,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text", "language_hint")
-    return languages.languages(spread(judgments), languages.fit(judgments)).distinct()
+    judgments = read(spark, sf_dir, "judgments").select("source_id", "clean_text", "language_hint", "title")
+    return languages.languages(spread(judgments), languages.fit(judgments), title_col="title").distinct()
 
 
 # 2: sentences ----------------------------------------------------------------------------------

@@ -279,7 +279,9 @@ def test_mixed_and_other_alphabets(profiles):
     assert main == "el" and 0 < confidence <= 1 and [(no, lang) for no, lang, _ in others] == [(4, "en")]
     greeklish = "To dikastirio aperripse tin efesi choris exoda kai epikyrose tin apofasi tou protodikeiou"
     assert languages.judge(profiles, [greeklish])[0][0] == "el"
-    assert languages.judge(profiles, [None, "", " \n\n ", "12 345"]) [:3] == [(None, 0.0, [])] * 3
+    assert languages.judge(profiles, [None, "", " \n\n ", "12 345"]) == [(None, 0.0, [])] * 4
+    lost = "?? ????????? ??? abc ??????? ??????\n\n������� � ���� def"
+    assert languages.judge(profiles, [lost, lost], ["Λουμπίδου ν. Μελαντρής", "Smith v. Jones"]) == [("el", 0.5, []), (None, 0.0, [])]
 
 
 @pytest.mark.parametrize("hint,code", [("EL", "el"), ("el-CY", "el"), ("ell", "el"), ("Greek", "el"), ("Ελληνικά", "el"), ("en_GB", "en"), ("Türkçe", "tr"), ("mk", "?"), ("und", "?"), ("", None), (" ", None), (None, None)])
