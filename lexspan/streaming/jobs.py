@@ -13,10 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.limiter import admit
 
 
-def rate_limited(requests: DataFrame, key: str = "client", time: str = "requested_at", tie: str = "job_id", span_seconds: int = 3600, most: int = 12) -> DataFrame:
+def rate_limited(requests: DataFrame, key: str = "client", time: str = "requested_at", tie: str = "job_id", span_seconds: int = 3600, most: int = 12, late: str = "2 hours") -> DataFrame:
     """(key, tie, time, accepted) of a stream; the state of a key is its accepted times, ``most`` at the most.
 
-    Within a micro-batch requests are decided in order of time. State goes when a key has been silent for the span.
+    Within a micro-batch requests are decided in order of time. State goes when the watermark, ``late`` behind the
+    latest request, has passed the span after a key's last one.
     """
     kind, tie_kind = requests.schema[key].dataType.simpleString(), requests.schema[tie].dataType.simpleString()
     span = span_seconds * 1_000_000
@@ -30,10 +31,10 @@ def rate_limited(requests: DataFrame, key: str = "client", time: str = "requeste
         micros = rows[time].astype("datetime64[us]").astype("int64")
         accepted = [admit(log, int(t), span, most) for t in micros]
         state.update((list(log),))
-        state.setTimeoutDuration(span_seconds * 1000)
+        state.setTimeoutTimestamp(max(int(micros.iloc[-1]) // 1000 + span_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: name[0], tie: rows[tie], time: rows[time], "accepted": accepted})
 
-    return requests.select(key, tie, time).groupBy(key).applyInPandasWithState(decide, f"{key} {kind}, {tie} {tie_kind}, {time} timestamp, accepted boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.select(key, tie, time).withWatermark(time, late).groupBy(key).applyInPandasWithState(decide, f"{key} {kind}, {tie} {tie_kind}, {time} timestamp, accepted boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(requests: DataFrame, time: str = "requested_at", late: str = "2 hours", width: str = "1 hour", by: str = "kind") -> DataFrame:
