@@ -100,7 +100,8 @@ def _may_compose_back(ch: str) -> bool:
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
-_LOOK = re.compile("[" + "".join(map(chr, TO_LATIN)) + "]")
+#: A letter of a script with look-alikes of Latin ones: words of such a text are looked at one by one.
+_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 
 
 @lru_cache(65536)
@@ -144,7 +145,7 @@ def canonical(text: str | None) -> str | None:
     changed, pattern = _tables()
     text = pattern.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(changed)), text.replace("\r\n", "\n"))
     text = text.replace("\r", "\n")
-    if _LOOK.search(text):
+    if _OTHER.search(text):
         text = _unmix(text)
     return text
 
