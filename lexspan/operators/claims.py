@@ -14,19 +14,29 @@ def meaningful(value: Column) -> Column:
     return F.coalesce(F.length(F.trim(value)) > 0, F.lit(False))
 
 
+def summarised(evidence: DataFrame) -> DataFrame:
+    """(document, field_path, n_evidence, rejected): kept anchors, and the reasons for which others were not, each once.
+
+    Reasons are a handful of names, so the set is small however many anchors a field has.
+    """
+    reason = F.element_at(F.array_remove("flags", "kind_missing"), 1) if "flags" in evidence.columns else F.lit("rejected")
+    return evidence.groupBy("source_id", "field_path").agg(F.count_if("kept").alias("n_evidence"), F.array_sort(F.collect_set(F.when(~F.col("kept"), reason))).alias("rejected"))
+
+
 def validated(claims: DataFrame, evidence: DataFrame, fallback: str = "", conflict_note: str = "sources disagree") -> DataFrame:
     """(document, field_path, status, value, confidence, n_evidence, conflicts) after checking each claim's evidence.
 
     An available claim needs a value and evidence, else it is indeterminate at confidence 0. An unavailable one has no
     value. A conflicted one keeps its value and has at least one note. Any other status is indeterminate.
     """
-    counts = evidence.where("kept").groupBy("source_id", "field_path").agg(F.count("*").alias("n_evidence"))
+    counts = evidence if "n_evidence" in evidence.columns else summarised(evidence)
     joined = claims.join(counts, ["source_id", "field_path"], "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)).cast("bigint"))
     good = (F.col("status") == "available") & meaningful(F.col("value")) & (F.col("n_evidence") > 0)
     status = F.when(good, "available").when(F.col("status").isin("unavailable", "conflicted"), F.col("status")).otherwise("indeterminate")
     final = joined.withColumn("__s", status)
+    rejected = F.coalesce("rejected", F.array().cast("array<string>")).alias("rejected")
     return final.select(
-        "source_id", "field_path", F.col("__s").alias("status"),
+        "source_id", "field_path", F.col("__s").alias("status"), rejected,
         F.when(F.col("__s").isin("available", "conflicted") & meaningful(F.col("value")), F.col("value")).otherwise(F.lit(fallback)).alias("value"),
         F.when(F.col("__s") == "indeterminate", F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
         F.when(F.col("__s") == "indeterminate", F.lit(0).cast("bigint")).otherwise(F.col("n_evidence")).alias("n_evidence"),
@@ -83,6 +93,30 @@ def penalised(scores: DataFrame, issues: DataFrame, penalties: dict[str, tuple[i
     return joined.withColumn("final", F.greatest(F.lit(0), F.least(F.lit(100), F.col("score") - F.col("penalty"))).cast("bigint"))
 
 
+def score_sheet(checked: DataFrame, weights: dict[str, int], required: dict[str, str], penalties: dict[str, tuple[int, int]], rejected_severity: str) -> DataFrame:
+    """(document, score, penalty, final) in one aggregate over validated claims.
+
+    The same as :func:`completeness` less what :func:`penalised` takes for :func:`missing_fields` and for each reason
+    of rejected anchors, without computing claims once for each.
+    """
+    group = F.substring_index("field_path", ".", 1)
+    parts = []
+    for g, w in weights.items():
+        countable = F.count_if((group == g) & (F.col("status") != "unavailable"))
+        parts.append(F.when(countable > 0, F.floor(F.count_if((group == g) & (F.col("status") == "available")) / countable * w + F.lit(0.5))).otherwise(F.lit(0)))
+    losses = []
+    for severity, (each, most) in penalties.items():
+        count = F.lit(0)
+        for path, s in required.items():
+            if s == severity:
+                count = count + F.when(F.count_if((F.col("field_path") == path) & (F.col("status") == "available")) == 0, 1).otherwise(0)
+        if severity == rejected_severity:
+            count = count + F.sum(F.size("rejected"))
+        losses.append(F.least(count * each, F.lit(most)))
+    sheet = checked.groupBy("source_id").agg(sum(parts[1:], parts[0]).cast("bigint").alias("score"), sum(losses[1:], losses[0]).cast("bigint").alias("penalty"))
+    return sheet.withColumn("final", F.greatest(F.lit(0), F.least(F.lit(100), F.col("score") - F.col("penalty"))).cast("bigint"))
+
+
 def gate(scores: DataFrame, threshold: int, placeholder: str) -> DataFrame:
     """Rows that go on, and those below the threshold with a placeholder in place of a result: one branch each."""
     return scores.withColumn("outcome", F.when(F.col("final") >= threshold, F.lit("continue")).otherwise(F.lit(placeholder)))

@@ -86,7 +86,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_JUDGED}, {_CLAIMS} SELECT source_id, field_path, status, CASE WHEN status IN ('available', 'conflicted') AND coalesce(length(trim(value, ' ')) > 0, false) THEN sha256(value) ELSE sha256('') END AS value,
   CASE WHEN status = 'indeterminate' THEN 0.0 ELSE CAST(confidence AS DOUBLE) END AS confidence, CASE WHEN status = 'indeterminate' THEN 0 ELSE n END AS n_evidence, CASE WHEN status = 'conflicted' THEN 'sources disagree' ELSE '' END AS conflicts FROM checked""")
 def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = C.validated(claims(spark, sf_dir), judged(spark, sf_dir))
+    checked = C.validated(claims(spark, sf_dir), judged(spark, sf_dir)).drop("rejected")
     return checked.withColumns({"value": F.sha2(F.col("value").cast("binary"), 256), "conflicts": F.array_join("conflicts", ",")})
 
 
@@ -101,9 +101,8 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checked(spark, sf_dir)
-    documents = table(spark, sf_dir, "anchors").select("source_id").distinct()
-    missing = C.missing_fields(found, documents, REQUIRED)
-    rejected = judged(spark, sf_dir).where("not kept").select("source_id", F.lit("anchor_rejected").alias("code"), F.lit("minor").alias("severity"), "field_path", F.element_at(F.array_remove("flags", "kind_missing"), 1).alias("message"))
+    missing = C.missing_fields(found, found.select("source_id").distinct(), REQUIRED)
+    rejected = found.select("source_id", F.lit("anchor_rejected").alias("code"), F.lit("minor").alias("severity"), "field_path", F.explode("rejected").alias("message"))
     return C.distinct_issues(missing, rejected)
 
 
@@ -134,7 +133,7 @@ _SCORES = f"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.penalised(C.completeness(checked(spark, sf_dir), WEIGHTS), issues(spark, sf_dir), PENALTIES)
+    return C.score_sheet(checked(spark, sf_dir), WEIGHTS, REQUIRED, PENALTIES, "minor")
 
 
 @query(f"WITH {_JUDGED}, {_CLAIMS}, {_ISSUES}, {_SCORES} SELECT *, CASE WHEN final >= 40 THEN 'continue' ELSE 'skipped' END AS outcome FROM final")

@@ -170,6 +170,19 @@ def test_validation_states(spark):
     assert got == {"a": ("available", "v", 0.9, []), "b": ("indeterminate", "", 0.0, []), "c": ("unavailable", "", 0.4, []), "d": ("conflicted", "v", 0.4, ["sources disagree"]), "e": ("indeterminate", "", 0.0, [])}
 
 
+def test_one_pass_score_equals_the_steps(spark):
+    rnd = random.Random(2)
+    paths = ["a.x", "a.y", "b.x", "b.y", "c.x"]
+    rows = [(f"s{i % 9}", p, rnd.choice(claims.STATUSES), rnd.sample(["q", "r"], rnd.randrange(3))) for i in range(9) for p in paths if rnd.random() < 0.8]
+    checked = spark.createDataFrame(rows, "source_id string, field_path string, status string, rejected array<string>")
+    weights, required, penalties = {"a": 40, "b": 30, "c": 30}, {"a.x": "bad", "c.x": "small"}, {"bad": (20, 30), "small": (3, 7)}
+    missing = claims.missing_fields(checked, checked.select("source_id").distinct(), required)
+    rejected = checked.select("source_id", F.lit("rejected").alias("code"), F.lit("small").alias("severity"), "field_path", F.explode("rejected").alias("message"))
+    steps = claims.penalised(claims.completeness(checked, weights), claims.distinct_issues(missing, rejected), penalties)
+    columns = ["source_id", "score", "penalty", "final"]
+    assert sorted(claims.score_sheet(checked, weights, required, penalties, "small").select(columns).collect()) == sorted(steps.select(columns).collect())
+
+
 def test_model_errors_become_rows(spark):
     class Failing:
         def answer(self, payload):
