@@ -180,13 +180,13 @@ def disguised_quotes(anchors: DataFrame, passages: DataFrame) -> DataFrame:
     """Keys of anchors whose quote is in none of its passages as stored, but looks like a stretch of one.
 
     Anchors meet their passages on (source_id, passage id), which spreads a hot source over all
-    tasks; repeated rows on either side can't change the result, which is reduced to one row a key.
+    tasks; repeated rows are combined before the shuffle on either side, however many copies there are.
     Only pairs without an exact match are compared in canonical form. Null or blank quotes, null
     passage lists and passages that do not exist are no case.
     """
     keys = ["source_id", "field_path", "anchor_id"]
     a = anchors.select(*keys, "quote", F.explode("passage_ids").alias("id")).where("trim(quote) <> ''").distinct()
-    p = passages.select("source_id", "id", "text").where("text is not null")
+    p = passages.select("source_id", "id", "text").where("text is not null").distinct()  # copies go before they could meet
     pairs = a.join(p, ["source_id", "id"]).select(*keys, _stored(F.col("quote"), F.col("text")).alias("stored"), "quote", "text")
     pairs = pairs.select(*keys, "stored", "quote", F.when(~F.col("stored"), F.col("text")).alias("text"))
 

@@ -106,6 +106,12 @@ def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.main_text(spread(read(spark, sf_dir, "fetched_pages").select("page_id", "html"))).distinct()
 
 
+@query
+def p3_judgment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judgments = read(spark, sf_dir, "judgments").select("source_id", "original_html").where("original_html is not null")
+    return mainbody.main_body(spread(judgments), "source_id", "original_html").distinct()
+
+
 # 4: wrong encodings ----------------------------------------------------------------------------
 
 
