@@ -184,3 +184,51 @@ def distinct_folded(items: Column) -> Column:
     cleaned = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     folded = F.transform(cleaned, lambda x: F.lower(x))
     return F.filter(F.transform(cleaned, lambda x, i: F.when(F.array_position(folded, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+
+
+def ordinal_after(c: Column | str, words: Sequence[str]) -> Column:
+    """The first number of up to three digits that follows one of the words; null if there is none."""
+    found = F.regexp_extract(col(c), "(?i)(?:" + "|".join(words) + r")\D{0,3}(\d{1,3})", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def mapped(c: Column | str, names: dict[str, str], default: str = "") -> Column:
+    """The name of a value, or the default."""
+    out = F.lit(default)
+    for value, name in names.items():
+        out = F.when(col(c) == value, F.lit(name)).otherwise(out)
+    return out
+
+
+def labelled(parts: Sequence[tuple[str, Column]], joiner: str = "; ") -> Column:
+    """'label: value' of the parts that have a value, joined."""
+    items = F.array(*[F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{name}: "), v)) for name, v in parts])
+    return F.array_join(F.array_compact(items), joiner)
+
+
+def plain_value(c: Column, kind: str) -> Column:
+    """How a value is shown: a dash for none, Yes and No, arrays joined, structures as JSON."""
+    if kind == "boolean":
+        shown = F.when(c, "Yes").otherwise("No")
+    elif kind == "array":
+        shown = F.array_join(c, ", ")
+    elif kind == "struct":
+        shown = F.to_json(c)
+    else:
+        shown = c.cast("string")
+    return F.when(c.isNull(), F.lit("–")).otherwise(shown)
+
+
+def without_prefix(items: Column, prefix: str) -> Column:
+    return F.filter(items, lambda x: ~F.startswith(x, F.lit(prefix)))
+
+
+def united(a: Column, b: Column, most: int) -> Column:
+    """Both arrays' members once each, in order, up to ``most``."""
+    empty = F.array().cast("array<string>")
+    return F.slice(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty)), 1, most)
+
+
+def within(items: Column, allowed: Column, most: int) -> Column:
+    """The items that are allowed, in their order and with their repeats, the first ``most``."""
+    return F.slice(F.filter(items, lambda x: F.array_contains(allowed, x)), 1, most)

@@ -134,3 +134,37 @@ def upsert(claims: DataFrame, changes: DataFrame, version: str = "version") -> D
 def fields_long(records: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(key, field_path, value) of every named field of nested records: what a recursive walk would visit."""
     return records.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_path"), F.col(f).cast("string").alias("value")) for f in fields])).alias("f")).select(key, "f.field_path", "f.value")
+
+
+def grounded(claims: DataFrame, found: DataFrame, path: str, confidence: float) -> DataFrame:
+    """Claims with a field filled from what was found in the text, where it is not available already.
+
+    ``found`` has (source_id, value), at most one row a document. A document without the field gets it.
+    """
+    named = found.select("source_id", F.lit(path).alias("field_path"), F.col("value").alias("__found"))
+    joined = claims.join(named, ["source_id", "field_path"], "full")
+    fill = F.col("__found").isNotNull() & (F.coalesce("status", F.lit("")) != "available")
+    return joined.select(
+        "source_id", "field_path", F.when(fill, "available").otherwise(F.col("status")).alias("status"), F.when(fill, F.col("__found")).otherwise(F.col("value")).alias("value"),
+        F.when(fill, F.lit(confidence)).otherwise(F.col("confidence")).alias("confidence"),
+    )
+
+
+def not_present(generated: DataFrame, existing: DataFrame, key: str, name: str) -> DataFrame:
+    """Generated rows whose name, in any case, a document doesn't have yet; of several spellings the least."""
+    have = existing.select(key, F.lower(name).alias("__name")).distinct()
+    new = generated.select(key, name, F.lower(name).alias("__name")).join(have, [key, "__name"], "left_anti")
+    return new.groupBy(key, "__name").agg(F.min(name).alias(name)).select(key, name)
+
+
+def first_by_number(items: DataFrame, anchors: DataFrame, key: str, number: str, order: str) -> DataFrame:
+    """Each item with the first anchor of its document and number; items without one keep a null."""
+    first = anchors.groupBy(key, number).agg(F.min(order).alias(order))
+    return items.join(first, [key, number], "left")
+
+
+def suppressed(issues: DataFrame, claims: DataFrame, codes: str) -> DataFrame:
+    """Issues without those whose code matches and whose field is available after all."""
+    settled = claims.where("status = 'available'").select("source_id", "field_path")
+    doubtful = F.regexp_like("code", F.lit(codes))
+    return issues.where(~doubtful).unionByName(issues.where(doubtful).join(settled, ["source_id", "field_path"], "left_anti").select(issues.columns))

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lexspan.operators import report
-from lexspan.sources import pages, requests
+from lexspan.sources import pages, requests, sinks
 
 
 def test_files(spark, tmp_path):
@@ -54,3 +54,12 @@ def test_order_statistics(spark):
     s = sorted(sizes)
     assert (got.median, got.p90, got.p99, got.maximum) == (s[int(332 * 0.5)], s[int(332 * 0.9)], s[int(332 * 0.99)], s[-1])
     assert got.n_at_max == sum(x >= 45 for x in s) and got.passage_chars == sum(s)
+
+
+def test_sinks(spark, tmp_path):
+    lines = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "position int, line string")
+    sinks.write_report(lines, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r"), wholetext=True).first().value == "a\nb\nc\n"
+    counted, seen = sinks.counted(spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "record string"), "audit", longest=F.max(F.length("record")))
+    sinks.write_records(counted, str(tmp_path / "j"))
+    assert sorted(r.a for r in spark.read.json(str(tmp_path / "j")).collect()) == [1, 2] and seen.get == {"rows": 2, "longest": 8}
