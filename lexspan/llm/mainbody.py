@@ -37,6 +37,7 @@ _VOID = frozenset("br hr img input meta link col area base wbr source embed para
 #: Opening one of these ends an open paragraph.
 _BLOCK = frozenset("p div table ul ol dl pre blockquote h1 h2 h3 h4 h5 h6 form header footer section article aside nav main hr center fieldset".split())
 _ENDS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+_SIDE_TAGS = frozenset(("aside", "footer", "nav", "small"))
 _SPACE = re.compile(r"\s+")
 
 #: Words by which page remains give themselves away, whatever their place. Seen after entities are decoded and case is folded.
@@ -149,6 +150,20 @@ class _Page:
                 total[parent[i]] += ctd[i]
         return ctd, total
 
+    def finish(self) -> None:
+        """Nodes are numbered in document order: a node's descendants are those up to its last one."""
+        n = len(self.tag)
+        self.last = list(range(n))
+        for i in range(n - 1, 0, -1):
+            if self.last[i] > self.last[self.parent[i]]:
+                self.last[self.parent[i]] = self.last[i]
+        self.side = [-1] * n  # the nearest node around that is no part of a body
+        for i in range(1, n):
+            self.side[i] = i if self.tag[i] in _SIDE_TAGS else self.side[self.parent[i]]
+
+    def inside(self, node: int, region: int) -> bool:
+        return region <= node <= self.last[region]
+
     def above(self, node: int) -> list[int]:
         out = [node]
         while node:
@@ -183,6 +198,7 @@ def body_lines(html: str | None) -> list[int]:
     if not any(page.chars):
         return []
     best, threshold = core(page)
+    page.finish()
     lines: dict[int, list[tuple[int, bool, str]]] = {}
     for line, node, link, text in page.runs:
         if text:
@@ -201,11 +217,11 @@ def body_lines(html: str | None) -> list[int]:
         # the smallest ancestor of the core that also holds the title, but no less than the title's own container
         around = set(page.above(lines[start][0][0]))
         region = next(node for node in page.above(best) if node in around)
-        if region != holder and holder in page.above(best):
+        if region != holder and page.inside(best, holder):
             region = holder
         end = min((c for node in page.above(holder) if (c := page.close[node]) is not None), default=10**9) if holder else 10**9
     else:
-        sentences = [t for no, t in texts.items() if len(t) > 40 and t[-1] in ".!?;;»”\"" and not any(k for _, k, _ in lines[no]) and any(best in page.above(n) for n, _, _ in lines[no])]
+        sentences = [t for no, t in texts.items() if len(t) > 40 and t[-1] in ".!?;;»”\"" and not any(k for _, k, _ in lines[no]) and any(page.inside(n, best) for n, _, _ in lines[no])]
         if len(sentences) < LEAST_SENTENCES or sum(map(len, sentences)) < LEAST_CHARS:
             return []
         start, end, region = 0, page.close[best] or 10**9, best
@@ -215,14 +231,13 @@ def body_lines(html: str | None) -> list[int]:
     for at, no in enumerate(order):
         runs, text = lines[no], texts[no]
         node = runs[0][0]
-        if region not in page.above(node):
+        if not page.inside(node, region):
             if no > start:
                 break
             continue
         low = text.lower().replace("i̇", "i")
         if no != start:
-            path = page.above(node)
-            if any(page.tag[x] in ("aside", "footer", "nav", "small") for x in path if x > region) or _FOOTER.search(low) or text.count(" | ") >= 2:
+            if page.side[node] > region or _FOOTER.search(low) or text.count(" | ") >= 2:
                 break
             linked = all(link for _, link, _ in runs)
             if page.tag[node] in ("h3", "h4", "h5", "h6") and (_SIDE_HEAD.match(low) or _side_list(page, lines, order[at + 1 : at + 2])):

@@ -413,6 +413,46 @@ def test_query(spark, data, duck, name):
     assert len(set(rows)) == len(rows) or name in ("p8_containers",)
 
 
+def test_empty_tables(spark, data, tmp_path):
+    """Every query over tables without rows, fitting included."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    for name in os.listdir(data):
+        t = pq.read_table(f"{data}/{name}")
+        pq.write_table(t if name == "size_limits.parquet" else t.slice(0, 0), tmp_path / name)
+    for name, query in QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name == "p8_fill" else 0), name
+
+
+def test_repair_of_dirty_rows(spark, repairer):
+    fitted = spark.sparkContext.broadcast((repairer.model, repairer.margin))
+    bad = GREEK.encode().decode("latin_1")
+    df = frame(spark, [("a", None, 1), ("b", "", 1), ("c", bad, 1), ("c", bad, 1), (None, "plain", 1)], "k string, t string, garbled int")
+    got = [(r.k, r.garbled, r.restored, r.repaired) for r in garble.repair(df, ["k"], "t", fitted).collect()]
+    assert got == [("a", False, False, None), ("b", False, False, ""), ("c", True, True, GREEK), ("c", True, True, GREEK), (None, False, False, "plain")]
+    assert garble.repair(df.limit(0), ["k"], "t", fitted).count() == 0
+
+
+def test_sentences_without_training():
+    model = sentences.train([])
+    assert len(sentences.split("One sentence here. Another one there.", model)) == 2
+
+
+def test_canonical_rows(spark):
+    df = frame(spark, [("a", None), ("b", ""), ("c", "ﬁne\u200b"), ("c", "ﬁne\u200b")], "k string, canonical_text string")
+    assert [(r.k, r[1]) for r in canonical.canonicalize(df, ["k"], "canonical_text").collect()] == [("a", None), ("b", ""), ("c", "fine"), ("c", "fine")]
+
+
+def test_very_long_texts(model, profiles, repairer):
+    text = "Η πρόταση είναι εδώ. " * 20_000
+    assert len(sentences.split(text, model)) == 20_000
+    assert languages.judge(profiles, [text])[0][0] == "el"
+    assert repairer.texts([text])[0][0] is False and canonical.canonical(text) == text and residue.judge(text) is None
+    assert len(splitting.cut_points(text, 7000, 200)) == -(-(len(text) - 200) // 6800)
+
+
 def test_found_columns(spark, data):
     want = {"p1_found": ["source_id", "block_no", "lang"], "p2_found": ["source_id", "ordinal", "start_pos", "end_pos"], "p3_found": ["page_id", "line_no"], "p4_found": ["tab", "rec_key"], "p5_found": ["source_id", "ordinal"], "p6_found": ["source_id", "field_path", "anchor_id"], "p7_ids": ["doc_id", "ids"], "p9_found": ["doc_id"]}
     for name, columns in want.items():
