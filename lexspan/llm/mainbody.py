@@ -182,13 +182,12 @@ def _figures(text: str) -> str:
     return re.sub(r"[^\d/]", "", text)
 
 
-def core(page: _Page) -> tuple[int, float]:
-    """The node with the largest density sum, and the threshold of its path to the body."""
+def core(page: _Page) -> tuple[int, float, list[float]]:
+    """The node with the largest density sum, the threshold of its path to the body, and all densities."""
     ctd, total = page.density()
     best = max(range(len(total)), key=total.__getitem__)
     threshold = min((ctd[i] for i in page.above(best)), default=0.0)
-    # of the nodes that reach the threshold, the dense children of the best are the paragraphs
-    return best, threshold
+    return best, threshold, ctd
 
 
 def body_lines(html: str | None) -> list[int]:
@@ -197,7 +196,7 @@ def body_lines(html: str | None) -> list[int]:
     page = _Page(html)
     if not any(page.chars):
         return []
-    best, threshold = core(page)
+    best, threshold, density = core(page)
     page.finish()
     lines: dict[int, list[tuple[int, bool, str]]] = {}
     for line, node, link, text in page.runs:
@@ -221,7 +220,8 @@ def body_lines(html: str | None) -> list[int]:
             region = holder
         end = min((c for node in page.above(holder) if (c := page.close[node]) is not None), default=10**9) if holder else 10**9
     else:
-        sentences = [t for no, t in texts.items() if len(t) > 40 and t[-1] in ".!?;;»”\"" and not any(k for _, k, _ in lines[no]) and any(page.inside(n, best) for n, _, _ in lines[no])]
+        # without a title line to hold on to, nodes of the core count that are as dense as its path to the body
+        sentences = [t for no, t in texts.items() if density[lines[no][0][0]] >= threshold and len(t) > 40 and t[-1] in ".!?;;»”\"" and not any(k for _, k, _ in lines[no]) and any(page.inside(n, best) for n, _, _ in lines[no])]
         if len(sentences) < LEAST_SENTENCES or sum(map(len, sentences)) < LEAST_CHARS:
             return []
         start, end, region = 0, page.close[best] or 10**9, best
