@@ -90,8 +90,7 @@ def _tables() -> tuple[dict[int, str], re.Pattern]:
             first = last = cp
     ranges.append((first, last))
     cls = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-    # one stable character before is the starter that marks may attach to; \r needs no table
-    return changed, re.compile(f"(?:[^{cls}]?[\r{cls}])+")
+    return changed, re.compile(f"[{cls}]+")
 
 
 def _may_compose_back(ch: str) -> bool:
@@ -143,8 +142,15 @@ def canonical(text: str | None) -> str | None:
     if text is None or text.isascii() and "\r" not in text:
         return text
     changed, pattern = _tables()
-    text = pattern.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(changed)), text.replace("\r\n", "\n"))
-    text = text.replace("\r", "\n")
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    parts, at = [], 0
+    for m in pattern.finditer(text):
+        start = max(m.start() - 1, at)  # the starter that marks may attach to
+        parts += (text[at:start], unicodedata.normalize("NFC", text[start : m.end()].translate(changed)))
+        at = m.end()
+    if parts:
+        parts.append(text[at:])
+        text = "".join(parts)
     if _OTHER.search(text):
         text = _unmix(text)
     return text

@@ -252,8 +252,11 @@ def _letter_vectors() -> np.ndarray:
     return _VECTORS[0]
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def _bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.replace("ı", "i").replace("İ", "I")) if not unicodedata.combining(c)).replace("ß", "ss")
+    return _MARKS.sub("", unicodedata.normalize("NFD", text.replace("ı", "i").replace("İ", "I"))).replace("ß", "ss")
 
 
 def _variants(code: str, text: str) -> list[str]:
@@ -263,11 +266,11 @@ def _variants(code: str, text: str) -> list[str]:
         out.append(_bare(text))
     if code in LATIN_OF:
         low = _bare(text.lower()).translate({ord("ё"): "е"}) if code != "el" else _bare(text.lower())
-        out.append("".join(LATIN_OF[code].get(c, c) for c in low))
+        out.append(low.translate(str.maketrans(LATIN_OF[code])))
         if code == "el":
             other = LATIN_OF["el"] | {"β": "b", "η": "h", "υ": "u", "χ": "x", "ξ": "ks", "ω": "w", "θ": "8"}
-            out.append("".join(other.get(c, c) for c in low))
-            out.append("".join(LATIN_OF["el"].get(c, c) for c in low.replace("ου", "ou").replace("αυ", "av").replace("ευ", "ev").replace("μπ", "b").replace("ντ", "d")))
+            out.append(low.translate(str.maketrans(other)))
+            out.append(low.replace("ου", "ou").replace("αυ", "av").replace("ευ", "ev").replace("μπ", "b").replace("ντ", "d").translate(str.maketrans(LATIN_OF["el"])))
     for written, read in MISREAD.get(code, ()):
         data = text.encode(written, "ignore")
         out.append(data.decode(read, "ignore").replace("\n", " ") if read != "latin_1" else data.decode("latin_1").replace("\n", " "))
