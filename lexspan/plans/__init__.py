@@ -9,4 +9,4 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["segment_diagnostics"](spark, sf_dir)
+    return QUERIES["pipeline_diagnostics"](spark, sf_dir)

@@ -80,3 +80,23 @@ def segment_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.report import length_diagnostics
 
     return length_diagnostics(passages(spark, sf_dir).where("text is not null"), "source_id", F.length("text"), 6900)
+
+
+_TRIM = "'^[\\s\\x0B\\x{0085}\\p{Z}]+|[\\s\\x0B\\x{0085}\\p{Z}]+$'"
+
+
+@query(f"""
+WITH clean AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\x00', '', 'g'), '[\\x{{00A0}}\\x{{2007}}\\x{{202F}}]', ' ', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{4,}}', repeat(chr(10), 3), 'g'), {_TRIM}, '', 'g') AS t FROM documents),
+  cut AS (SELECT 'doc_' || substr(sha256(t), 1, 24) AS source_id, list_filter(list_transform(string_split_regex(t, '\\n[ \\t]*\\n\\s*'), lambda x: regexp_replace(x, {_TRIM}, '', 'g')), lambda x: x <> '') AS b, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, {_TRIM}, '', 'g')), lambda x: x <> '') AS l FROM clean WHERE length(t) >= 80),
+  sizes AS (SELECT source_id, list_sort(list_transform(CASE WHEN len(b) <= 5 AND len(l) >= 12 THEN l ELSE b END, lambda x: length(x))) AS s FROM cut)
+SELECT source_id, CAST(len(s) AS BIGINT) AS n_passages, CAST(list_sum(s) AS BIGINT) AS passage_chars, CAST(s[1] AS INT) AS minimum, CAST(s[CAST(floor((len(s) - 1) * 0.5) AS INT) + 1] AS INT) AS median, CAST(s[CAST(floor((len(s) - 1) * 0.9) AS INT) + 1] AS INT) AS p90,
+  CAST(s[CAST(floor((len(s) - 1) * 0.95) AS INT) + 1] AS INT) AS p95, CAST(s[CAST(floor((len(s) - 1) * 0.99) AS INT) + 1] AS INT) AS p99, CAST(s[-1] AS INT) AS maximum, CAST(len(list_filter(s, lambda x: x >= 6900)) AS BIGINT) AS n_at_max FROM sizes
+""")
+def pipeline_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts to clean, content-addressed documents, to blocks, to the diagnostics of each document."""
+    from ..functions import text as T
+    from ..operators.report import length_diagnostics
+
+    clean = table(spark, sf_dir, "documents").select(T.normalize_newlines("text").alias("t")).where(F.length("t") >= 80).distinct()
+    parts = clean.select(T.content_id("t").alias("source_id"), F.explode_outer(S.blocks(F.col("t"))).alias("block"))
+    return length_diagnostics(parts, "source_id", F.length("block"), 6900)
