@@ -47,14 +47,15 @@ def cut(costs: list[int], rule: WindowRule) -> list[tuple[int, int]] | None:
     return out
 
 
-def windows(passages: DataFrame, key: str = "source_id", order: str = "ordinal", text: str = "text", rule: WindowRule = WindowRule()) -> DataFrame:
+def windows(passages: DataFrame, key: str = "source_id", order: str = "ordinal", text: str = "text", rule: WindowRule = WindowRule(), chars: str | None = None) -> DataFrame:
     """(key, window_idx, first_ordinal, last_ordinal, error).
 
     Each window depends on the one before, so a document is folded in one task, over numbers only. Documents that must
     exceed the most windows are told by their size beforehand: they become one row with an error, and
-    what is folded is bounded.
+    what is folded is bounded. ``chars`` names a column of lengths, where texts were left behind already.
     """
-    sized = passages.select(key, F.col(order).cast("int").alias("__o"), (F.length(F.coalesce(text, F.lit(""))) + rule.each).alias("__c"))
+    length = F.length(F.coalesce(text, F.lit(""))) if chars is None else F.col(chars)
+    sized = passages.select(key, F.col(order).cast("int").alias("__o"), (length + rule.each).cast("int").alias("__c"))
     per = sized.groupBy(key).agg(F.sum("__c").alias("__all"))
     fits = per.where(F.col("__all") <= rule.longest).select(key)
     kind = passages.schema[key].dataType.simpleString()

@@ -79,7 +79,8 @@ GROUP BY source_id, l
 def segment_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.report import length_diagnostics
 
-    return length_diagnostics(passages(spark, sf_dir).where("text is not null"), "source_id", F.length("text"), 6900)
+    sized = table(spark, sf_dir, "passages").where("text is not null").select("source_id", "ordinal", F.length("text").alias("chars")).distinct()
+    return length_diagnostics(sized, "source_id", F.col("chars"), 6900)
 
 
 _TRIM = "'^[\\s\\x0B\\x{0085}\\p{Z}]+|[\\s\\x0B\\x{0085}\\p{Z}]+$'"
@@ -97,6 +98,6 @@ def pipeline_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text as T
     from ..operators.report import length_diagnostics
 
-    clean = table(spark, sf_dir, "documents").select(T.normalize_newlines("text").alias("t")).where(F.length("t") >= 80).distinct()
-    parts = clean.select(T.content_id("t").alias("source_id"), F.explode_outer(S.blocks(F.col("t"))).alias("block"))
-    return length_diagnostics(parts, "source_id", F.length("block"), 6900)
+    clean = table(spark, sf_dir, "documents").select(T.normalize_newlines("text").alias("t")).where(F.length("t") >= 80)
+    sizes = clean.select(T.content_id("t").alias("source_id"), F.transform(S.blocks(F.col("t")), lambda b: F.length(b)).alias("sizes")).distinct()  # equal texts have one id
+    return length_diagnostics(sizes.select("source_id", F.explode_outer("sizes").alias("chars")), "source_id", F.col("chars"), 6900)

@@ -31,7 +31,8 @@ UNION ALL
 SELECT source_id, NULL, NULL, NULL, 'too_many_windows' FROM {_P} GROUP BY source_id HAVING sum(length(coalesce(text, '')) + 120) > 64 * 5620
 """)
 def window_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.windows(keyed(spark, sf_dir))
+    sized = table(spark, sf_dir, "passages").select("source_id", "ordinal", F.length(F.coalesce("text", F.lit(""))).alias("chars")).distinct()
+    return windows.windows(sized, chars="chars")
 
 
 @query(f"""
@@ -41,7 +42,7 @@ WHERE rn <= 40 OR n - rn < 60
 """)
 def window_head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 and last 60 passages of each document, the numbering spread over ranges."""
-    numbered = ordered.numbered(keyed(spark, sf_dir).select("source_id", "ordinal"), "source_id", "ordinal")
+    numbered = ordered.numbered(table(spark, sf_dir, "passages").select("source_id", "ordinal").distinct(), "source_id", "ordinal")
     near = numbered.where("rn <= 40 or n - rn < 60")
     return near.select("source_id", "ordinal", "rn", "n", F.least(F.col("rn") - 1, F.col("n") - F.col("rn")).alias("from_edge"))
 
@@ -64,7 +65,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.regexp_like(text, F.lit('^\\s*[«“„"]')), "quotation").when(F.regexp_like(text, F.lit("^\\s*\\(?\\d+[.)]")), "list").when(F.length(text) <= 40, "heading").otherwise("body")
     speaker = F.when(F.regexp_like(text, F.lit("^[QΕ]\\. ")), "counsel").when(F.regexp_like(text, F.lit("^[AΑ]\\. ")), "witness").otherwise("unknown")
     last = F.floor((F.col("ordinal") - 1) / STEP)
-    p = keyed(spark, sf_dir).where("text is not null and ordinal >= 1").select("source_id", "ordinal", kind.alias("kind"), speaker.alias("speaker"), F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("ordinal") - 5) / STEP)), last)).alias("window_idx"))
+    labels = table(spark, sf_dir, "passages").where("text is not null and ordinal >= 1").select("source_id", "ordinal", kind.alias("kind"), speaker.alias("speaker")).distinct()
+    p = labels.select("source_id", "ordinal", "kind", "speaker", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("ordinal") - 5) / STEP)), last)).alias("window_idx"))
     p = p.where((F.col("ordinal") > STEP * F.col("window_idx")) & (F.col("ordinal") <= STEP * F.col("window_idx") + REACH))
     w = Window.partitionBy("source_id", "window_idx").orderBy("ordinal")
     runs = p.withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("source_id", "window_idx", "kind", "speaker").orderBy("ordinal")))

@@ -13,7 +13,12 @@ _PASSAGES = "(SELECT DISTINCT source_id, ordinal, text FROM passages)"
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "passages").select("source_id", "ordinal", "text").distinct()
+    return delivered(spark, sf_dir).distinct()
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as they come, some twice. What follows from a row alone is computed first; its copies go after that, so that no text is shuffled."""
+    return table(spark, sf_dir, "passages").select("source_id", "ordinal", "text")
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +32,8 @@ SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_repla
 FROM (SELECT DISTINCT page_id, text FROM fetched_pages)
 """)
 def text_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "fetched_pages").select("page_id", "text").distinct()
-    return pages.select("page_id", F.sha2(T.normalize_newlines("text").cast("binary"), 256).alias("digest"))
+    pages = table(spark, sf_dir, "fetched_pages").select("page_id", "text")
+    return pages.select("page_id", F.sha2(T.normalize_newlines("text").cast("binary"), 256).alias("digest")).distinct()
 
 
 @query(r"""
@@ -39,10 +44,10 @@ SELECT page_id, length(t) AS n_chars, len(string_split(t, chr(10))) AS n_lines F
   FROM (SELECT DISTINCT page_id, html FROM fetched_pages))
 """)
 def text_without_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "fetched_pages").select("page_id", "html").distinct()
+    pages = table(spark, sf_dir, "fetched_pages").select("page_id", "html")
     t = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<script\b.*?</script\s*>", ""), r"(?is)<style\b.*?</style\s*>", "")
     t = F.regexp_replace(F.regexp_replace(T.strip_tags(t), "[ \t]+\n", "\n"), "\n{2,}", "\n")
-    return pages.select("page_id", F.length(t).cast("bigint").alias("n_chars"), F.size(F.split(t, "\n")).cast("bigint").alias("n_lines"))
+    return pages.select("page_id", F.length(t).cast("bigint").alias("n_chars"), F.size(F.split(t, "\n")).cast("bigint").alias("n_lines")).distinct()
 
 
 @query()
@@ -62,11 +67,11 @@ SELECT source_id, ordinal,
 FROM (SELECT *, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS capitals, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters FROM {_PASSAGES} WHERE text IS NOT NULL)
 """)
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = passages(spark, sf_dir).where("text is not null")
+    p = delivered(spark, sf_dir).where("text is not null")
     return p.select(
         "source_id", "ordinal", T.uppercase_ratio("text").alias("upper_ratio"), T.script_hint("text").alias("lang"), T.paragraph_number("text").alias("number"), T.is_list_item("text").alias("list_item"),
         F.length(F.regexp_replace("text", r"[^(\[«“]", "")).cast("bigint").alias("opened"), F.length(F.regexp_replace("text", r"[^)\]»”]", "")).cast("bigint").alias("closed"),
-    )
+    ).distinct()
 
 
 #: Words that begin headings in the test corpus; operators take such lists from the caller.
@@ -81,7 +86,7 @@ WHERE length(text) <= 120 AND ((letters > 0 AND floor(capitals::DOUBLE / letters
   OR {" OR ".join(f"starts_with(low, '{w}')" for w in HEADING_WORDS)})
 """)
 def text_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(spark, sf_dir).where(T.is_heading("text", HEADING_WORDS)).select("source_id", "ordinal")
+    return delivered(spark, sf_dir).where(T.is_heading("text", HEADING_WORDS)).select("source_id", "ordinal").distinct()
 
 
 @query(r"""
@@ -89,7 +94,8 @@ SELECT source_id, 'doc_' || substr(sha256(clean_text), 1, 24) AS content_id, sou
 FROM (SELECT DISTINCT source_id, clean_text FROM judgments)
 """)
 def text_content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judgments(spark, sf_dir).select("source_id", T.content_id("clean_text").alias("content_id"), (F.col("source_id") == T.content_id("clean_text", "src_")).alias("agrees"))
+    j = table(spark, sf_dir, "judgments")
+    return j.select("source_id", T.content_id("clean_text").alias("content_id"), (F.col("source_id") == T.content_id("clean_text", "src_")).alias("agrees")).distinct()
 
 
 @query(r"""
@@ -163,7 +169,7 @@ def text_first_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of two patterns in the first forty passages, the earliest passage deciding."""
     patterns = (r"(?:Appl\.|Case No\.|Civil Appeal|Action No\.|Προσφυγή|Πολ\. Έφεση|Αγωγή Αρ\.|Υπόθ\. Αρ\.) (\d+/\d{4})", r"No\. (\d+/\d{4})")
     found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in patterns])
-    head = passages(spark, sf_dir).where("ordinal <= 40").select("source_id", "ordinal", found.alias("citation")).where("citation is not null")
+    head = delivered(spark, sf_dir).where("ordinal <= 40").select("source_id", "ordinal", found.alias("citation")).where("citation is not null")
     return head.groupBy("source_id").agg(F.min_by("citation", "ordinal").alias("citation"), F.min("ordinal").alias("ordinal"))
 
 
