@@ -93,7 +93,7 @@ WITH clean AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(rege
 SELECT source_id, CAST(len(s) AS BIGINT) AS n_passages, CAST(list_sum(s) AS BIGINT) AS passage_chars, CAST(s[1] AS INT) AS minimum, CAST(s[CAST(floor((len(s) - 1) * 0.5) AS INT) + 1] AS INT) AS median, CAST(s[CAST(floor((len(s) - 1) * 0.9) AS INT) + 1] AS INT) AS p90,
   CAST(s[CAST(floor((len(s) - 1) * 0.95) AS INT) + 1] AS INT) AS p95, CAST(s[CAST(floor((len(s) - 1) * 0.99) AS INT) + 1] AS INT) AS p99, CAST(s[-1] AS INT) AS maximum, CAST(len(list_filter(s, lambda x: x >= 6900)) AS BIGINT) AS n_at_max FROM sizes
 """)
-def pipeline_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flow_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw texts to clean, content-addressed documents, to blocks, to the diagnostics of each document."""
     from ..functions import text as T
     from ..operators.report import length_diagnostics
