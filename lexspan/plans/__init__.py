@@ -9,4 +9,4 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["flow_diagnostics"](spark, sf_dir)
+    return QUERIES["flow_passages"](spark, sf_dir)

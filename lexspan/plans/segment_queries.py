@@ -11,6 +11,8 @@ from .registry import query, table
 from .text_queries import judgments, passages
 
 ABBREVIATIONS = ("κ", "Αρ", "Υπόθ", "Πολ", "βλ", "άρθ", "No", "Mr", "Mrs", "Dr", "cf", "viz")
+#: Words that open another proposition in a long paragraph without sentence ends.
+TRANSITIONS = ("Κρίνουμε", "Θεωρούμε", "We find", "We hold", "It follows")
 
 
 @query(r"""
@@ -45,7 +47,7 @@ def segment_merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segment_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.passages(judgments(spark, sf_dir), "source_id", "clean_text", ABBREVIATIONS)
+    return S.passages(judgments(spark, sf_dir), "source_id", "clean_text", ABBREVIATIONS, transitions=TRANSITIONS)
 
 
 @query(r"""
@@ -94,10 +96,28 @@ SELECT source_id, CAST(len(s) AS BIGINT) AS n_passages, CAST(list_sum(s) AS BIGI
   CAST(s[CAST(floor((len(s) - 1) * 0.95) AS INT) + 1] AS INT) AS p95, CAST(s[CAST(floor((len(s) - 1) * 0.99) AS INT) + 1] AS INT) AS p99, CAST(s[-1] AS INT) AS maximum, CAST(len(list_filter(s, lambda x: x >= 6900)) AS BIGINT) AS n_at_max FROM sizes
 """)
 def flow_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw texts to clean, content-addressed documents, to blocks, to the diagnostics of each document."""
+    """Raw texts to clean, content-addressed documents, to blocks, to the diagnostics of each document's blocks."""
     from ..functions import text as T
     from ..operators.report import length_diagnostics
 
     clean = table(spark, sf_dir, "documents").select(T.normalize_newlines("text").alias("t")).where(F.length("t") >= 80)
     sizes = clean.select(T.content_id("t").alias("source_id"), F.transform(S.blocks(F.col("t")), lambda b: F.length(b)).alias("sizes")).distinct()  # equal texts have one id
     return length_diagnostics(sizes.select("source_id", F.explode_outer("sizes").alias("chars")), "source_id", F.col("chars"), 6900)
+
+
+@query()
+def flow_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: raw texts to clean documents, blocks, sentences, merged and split units, their places, diagnostics.
+
+    Besides the lengths, how many passages aren't in the text as they stand. No SQL; tested against plain loops.
+    """
+    from ..functions import text as T
+    from ..operators.report import length_diagnostics
+
+    clean = table(spark, sf_dir, "documents").select(T.normalize_newlines("text").alias("t")).where(F.length("t") >= 80)
+    cut = clean.select(T.content_id("t").alias("source_id"), "t", S.pieces(F.col("t"), ABBREVIATIONS, TRANSITIONS)["text"].alias("parts"))
+    sizes = cut.select("source_id", F.transform(S.offsets(F.col("t"), F.col("parts")), lambda x: F.struct((x["e"] - x["s"]).alias("n"), x["found"].alias("found"))).alias("sizes")).distinct()  # equal texts have one id
+    joined = sizes.select("source_id", F.size(F.filter("sizes", lambda x: ~x["found"])).cast("bigint").alias("n_joined"), "sizes.n")
+    sized = joined.select(F.struct("source_id", "n_joined").alias("d"), F.explode_outer("n").alias("chars"))
+    measured = length_diagnostics(sized, "d", F.col("chars"), 6900)
+    return measured.select("d.source_id", *measured.columns[1:], "d.n_joined")
