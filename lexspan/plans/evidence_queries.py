@@ -174,6 +174,13 @@ def facet_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("url", F.array_join(facets.facet([F.split("title", "[ ,]+")], 5), "|").alias("tags"))
 
 
+@query()
+def facet_all_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title, those with final sigma and dotted i too; no SQL, since engines fold these differently. Tested against a plain fold."""
+    d = table(spark, sf_dir, "diagnostics").select("url", "title").distinct().where("title is not null")
+    return d.select("url", F.array_join(facets.facet([F.split("title", "[ ,]+")], 5), "|").alias("tags"))
+
+
 @query("""
 SELECT source_id, field_path, CAST(row_number() OVER (PARTITION BY source_id ORDER BY CAST(regexp_extract(field_path, '\\d+') AS INT)) AS INT) AS position
 FROM (SELECT DISTINCT source_id, supports[1] AS field_path FROM anchors WHERE starts_with(supports[1], 'analysis.issues['))

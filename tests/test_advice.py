@@ -85,3 +85,18 @@ def test_flow_measures_passages(spark, tmp_path):
     assert (old.n_passages, old.maximum) == (2, 15_000)
     assert (r.n_passages, r.maximum, r.n_at_max, r.n_joined, r.passage_chars) == (9, 7000, 2, 0, 6 * 40 + 15_000)
     assert len(segment_queries.TRANSITIONS) == len(set(segment_queries.TRANSITIONS)) and not re.search("[.(]", "".join(segment_queries.TRANSITIONS))
+
+
+def test_all_titles_have_words(spark, tmp_path):
+    titles = ["ΝΟΜΟΣ νομος Νόμος, νόμος ΝΌΜΟΣ", "ΟΔΟΣ, οδος", "İstanbul istanbul i̇stanbul ISPARTA ısparta isparta", "plain Plain words, Words", "", " , ", None, "ς Σ σ", "a b c d e f"]
+    spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(titles)] * 2, "url string, title string").write.parquet(str(tmp_path / "diagnostics.parquet"))
+    want = {}
+    for i, t in enumerate(titles):
+        if t is not None:
+            firsts = {}
+            for word in re.split("[ ,]+", t):
+                if word:
+                    firsts.setdefault(word.lower(), word)
+            want[f"u{i}"] = "|".join(list(firsts.values())[:5])
+    assert {r.url: r.tags for r in QUERIES["facet_all_title_words"](spark, str(tmp_path)).collect()} == want
+    assert {r.url for r in QUERIES["facet_title_words"](spark, str(tmp_path)).collect()} < set(want)  # its SQL leaves titles out
