@@ -100,3 +100,14 @@ def test_all_titles_have_words(spark, tmp_path):
             want[f"u{i}"] = "|".join(list(firsts.values())[:5])
     assert {r.url: r.tags for r in QUERIES["facet_all_title_words"](spark, str(tmp_path)).collect()} == want
     assert {r.url for r in QUERIES["facet_title_words"](spark, str(tmp_path)).collect()} < set(want)  # its SQL leaves titles out
+
+
+def test_every_block_has_its_place(spark, tmp_path):
+    texts = {"a": "one\n\ntwo\n\none\n \n\ntwo one\n\none", "b": "  x\n\n\n x  \n\nxx\n\nx", "c": "λόγος", "d": "", "e": None}
+    spark.createDataFrame(list(texts.items()) * 2, "source_id string, clean_text string").write.parquet(str(tmp_path / "judgments.parquet"))
+    want = set()
+    for key, text in texts.items():
+        parts = [x.strip() for x in re.split(segment.BLANK, text or "") if x.strip()]
+        want |= {(key, i, s, e) for i, (s, e, _) in enumerate(plain_offsets(text or "", parts), 1)}
+    rows = QUERIES["segment_offsets"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) == 10
