@@ -58,8 +58,8 @@ SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '
 FROM (SELECT DISTINCT page_id, html FROM fetched_pages) WHERE NOT contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&')
 """)
 def source_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fetched(spark, sf_dir, "page_id", "html").where(~F.contains(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("&")))
-    return pages.select("page_id", P.page_title(F.col("html")).alias("title"))
+    """Every page; the SQL, which decodes no entities, leaves out those with one in the title, which the tests cover."""
+    return fetched(spark, sf_dir, "page_id", "html").select("page_id", P.page_title(F.col("html")).alias("title"))
 
 
 @query(f"""

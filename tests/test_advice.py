@@ -123,3 +123,10 @@ def test_payloads_reach_beyond_the_head(spark, tmp_path):
     assert got["model_whole_answers"] == {"d": count(lambda i: True), "e": 2}
     assert got["model_stage_answers"] == {"d": count(lambda i: i <= 60 or i in (70, 75)), "e": 2}
     assert {tuple(r) for r in QUERIES["model_whole_recorded"](spark, str(tmp_path)).collect()} == {("d", None), ("e", None)}
+
+
+def test_titles_with_entities(spark, tmp_path):
+    rows = [(1, "<title>A &amp; B</title>"), (2, "<TITLE lang=el>&laquo;Νόμος&raquo;\n&#8211; x</TITLE>"), (3, "<title>plain</title>"), (4, "<title>AT&T</title>"), (5, "no title")]
+    spark.createDataFrame(rows, "page_id int, html string").write.parquet(str(tmp_path / "fetched_pages.parquet"))
+    got = {r.page_id: r.title for r in QUERIES["source_titles"](spark, str(tmp_path)).collect()}
+    assert got == {1: "A & B", 2: "«Νόμος» – x", 3: "plain", 4: "AT&T", 5: None}
