@@ -323,9 +323,9 @@ def body_lines(html: str | None) -> list[int]:
         dense = [no for no in dense if len(texts[no]) > 40 and not _cut(page, lines, texts, order, place, no)]
         if len(_STOP.findall(" ".join(texts[no] for no in dense) + " ")) < LEAST_SENTENCES or sum(len(texts[no]) for no in dense) < LEAST_CHARS:
             return []
-    first = next((no for no in dense if no != title and not _cut(page, lines, texts, order, place, no)), title)
-    if not dense or first is None:
+    if not dense:
         return []
+    first = next((no for no in dense if no != title), dense[0])
     start, outside = first, 0
     near = {page.within(best)[-1], page.within(page.parent[best] if best else 0)[-1]}
     typical = sum(density[lines[no][0][0]] for no in dense if no != title) / max(1, len(dense) - (title in dense))
