@@ -1,12 +1,17 @@
 """Problem 9: template residue, filler, site messages and script notices instead of content.
 
-Placeholders are found by one grammar for each kind of delimiter. A match is discounted where the
-text around it speaks about it: inside a quotation that has words besides it, inside a code block,
-or in a sentence that mentions unfilled fields as such; conventional elisions ([...], […]), page and note
-numbers, redactions (XXXX) and illegible dates (??/??/1975) are no placeholders at all.
+Placeholders are found by one grammar for each kind of delimiter, whatever their length. A match is discounted where its
+surroundings speak about it: inside a quotation that has words besides it; inside a code block (fenced, marked up, or
+indented with a control statement or after a line announcing it); in a sentence that mentions unfilled fields or the syntax of
+templates. Where more fields are discounted as syntax than are left, the text is a tutorial and all are.
+Conventional elisions ([...], […]), page and note
+numbers, redactions (XXXX) and illegible dates (??/??/1975) are no placeholders at all. The density given is the share of lines
+that hold an open field.
 
 Filler and messages are judged by density. A text is cut into lines and sentences; each unit is
-page remains (menus, notices of rights, counters), filler, a message, or content. The text is
+page remains (menus, notices of rights, counters), filler, a message, or content. A unit is filler by the share of its words that
+filler is made of, a message by the share of words that name parts of a site and what may be the matter with them, in
+some twenty languages, whatever their order; phrases and status codes add to both. The text is
 excluded where messages and filler make up at least half of what is not page remains, quoted
 words not counting as a message. All patterns see the whole text.
 
@@ -28,39 +33,39 @@ DENSITY = 0.5
 _NAME = r"[^\W\d]\w*"
 #: Grammar by delimiter.
 PLACEHOLDERS = {
-    "double_brace": r"\{\{\s*[^{}\n]{1,60}?\s*\}\}",
-    "statement": r"\{[%#][^{}\n]{1,80}[%#]\}",
-    "dollar_brace": r"[$#@]\{\s*[^{}\n]{1,60}\}",
+    "double_brace": r"\{\{\s*+[^{}\n]++\s*+\}\}",
+    "statement": r"\{[%#][^{}\n]+?[%#]\}",
+    "dollar_brace": r"[$#@]\{\s*+[^{}\n]++\}",
     "brace_number": r"(?<![\w{\\])\{\d{1,2}\}(?!\})",
     "brace_name": rf"(?<![\w{{$#@\\])\{{{_NAME}(?:[ ._-]\w+)*\}}(?!\}})",
-    "server_tag": r"(?:<|&lt;)[%?]=?\s*[^<>\n]{1,60}?\s*[%?](?:>|&gt;)",
-    "include": r"(?:<|&lt;)!--\s*#\s*[^<>\n]{1,60}?#?\s*--(?:>|&gt;)",
-    "double_angle": r"(?:<<|&lt;&lt;)\s*[^<>&\n]{1,40}?\s*(?:>>|&gt;&gt;)",
-    "angle": r"(?<!<)<(?!/)[^\W\d_][^<>=/\n\"']{0,30}>(?!>)",
-    "double_square": r"\[\[\s*[^\[\]\n|]{1,40}?\s*\]\]",
-    "square_caps": r"(?<!\[)\[(?=[^\[\]\n]*[^\W\d_]{2})(?:(?![^\W\d_])[^\[\]\n]|[A-ZΑ-ΩΆΈΉΊΌΎΏÇĞİÖŞÜА-ЯЁ]){3,40}\](?!\])",
-    "square_order": r"(?i:\[\s*(?:insert|enter|add|type|fill in|specify|συμπληρώστε|εισαγάγετε|εισάγετε|προσθέστε|gir|doldur|insérer|saisir|einfügen|eintragen|introduceți|completați|вставьте|укажите|введите|впишете|въведете)\b[^\[\]\n]{0,50}\])",
-    "square_order_end": r"(?i:\[[^\[\]\n]{1,40}\b(?:giriniz|girin|yazınız|doldurunuz|ekleyin|einfügen|eintragen|here|εδώ|to be (?:completed|confirmed|inserted)|tbc|tbd|να συμπληρωθεί|doldurulacak)\s*\])",
+    "server_tag": r"(?:<|&lt;)[%?]=?\s*+[^<>\n]+?[%?](?:>|&gt;)",
+    "include": r"(?:<|&lt;)!--\s*+#\s*+[^<>\n]+?--(?:>|&gt;)",
+    "double_angle": r"(?:<<|&lt;&lt;)\s*+[^<>&\n]++(?:>>|&gt;&gt;)",
+    "angle": r"(?<!<)<(?!/)[^\W\d_][\w.-]*(?: [\w.-]+){0,5}>(?!>)",
+    "double_square": r"\[\[\s*+[^\[\]\n|]++\]\]",
+    "square_caps": r"(?<!\[)\[(?=[^\[\]\n]*[^\W\d_]{2})(?:(?![^\W\d_])[^\[\]\n]|[A-ZΑ-ΩΆΈΉΊΌΎΏÇĞİÖŞÜА-ЯЁ]){3,}\](?!\])",
+    "square_order": r"(?i:\[\s*(?:insert|enter|add|type|fill in|specify|συμπληρώστε|εισαγάγετε|εισάγετε|προσθέστε|gir|doldur|insérer|saisir|einfügen|eintragen|introduceți|completați|вставьте|укажите|введите|впишете|въведете)\b[^\[\]\n]*\])",
+    "square_order_end": r"(?i:\[[^\[\]\n]+?\b(?:giriniz|girin|yazınız|doldurunuz|ekleyin|einfügen|eintragen|here|εδώ|to be (?:completed|confirmed|inserted)|tbc|tbd|να συμπληρωθεί|doldurulacak)\s*\])",
     "square_blank": r"\[\s*[●•■_□▪*]+\s*\]",
-    "square_field": r"(?<!\[)\[(?i:party|name|court|date|amount|judge|docket|case|client|insert|όνομα|ημερομηνία|ποσό|δικαστήριο|διάδικος|πελάτ|isim|tarih|mahkeme|tutar|taraf)[^\[\]\n\d]{0,30}\](?!\])",
-    "percent": rf"%(?=[^%\s]{{3,30}}%)(?:[A-ZΑ-ΩΆΈΉΊΌΎΏÇĞİÖŞÜА-ЯЁ_]{{3,30}})%",
+    "square_field": r"(?<!\[)\[(?i:party|name|court|date|amount|judge|docket|case|client|insert|όνομα|ημερομηνία|ποσό|δικαστήριο|διάδικος|πελάτ|isim|tarih|mahkeme|tutar|taraf)[^\[\]\n\d]*\](?!\])",
+    "percent": rf"%(?=[^%\s]{{3,}}%)(?:[A-ZΑ-ΩΆΈΉΊΌΎΏÇĞİÖŞÜА-ЯЁ_]{{3,}})%",
     "dollar": rf"(?<![\w$])\${_NAME}\$",
-    "hash": r"(?<![\w#])#[^\W\d][\w-]{2,30}#",
+    "hash": r"(?<![\w#])#[^\W\d][\w-]{2,}#",
     "guillemet": rf"«\s*{_NAME}_\w+\s*»",
     "underline": r"(?<!\w)__[^\W\d_]\w*?__(?!\w)",
     "model": r"(?<![\w.])@(?:Model|Html|ViewBag|item|this)\.\w+",
-    "parenthesis": r"(?i:\([^()\n]{0,40}\b(?:να συμπληρωθεί|προς συμπλήρωση|doldurulacak|to be (?:completed|filled in|inserted|confirmed|supplied)|tbc|tbd|fill in|à compléter|auszufüllen|de completat|заполнить)\s*\))",
+    "parenthesis": r"(?i:\([^()\n]*?\b(?:να συμπληρωθεί|προς συμπλήρωση|doldurulacak|to be (?:completed|filled in|inserted|confirmed|supplied)|tbc|tbd|fill in|à compléter|auszufüllen|de completat|заполнить)\s*\))",
     "masked_date": r"(?<![\w/])(?:XX|DD|ΗΗ|ΧΧ|GG)[/.-](?:XX|MM|ΜΜ|ΧΧ|AA)[/.-](?:(?:19|20)?(?:XX|ΧΧ)|YYYY|YY|ΕΕΕΕ|XXXX|YYY?Y?)(?!\w)",
     "question": rf"\?\?{_NAME}\?\?",
     "at_name": r"(?<![\w@.])@@[A-Za-z_]\w*@@",
     "tilde": r"(?<!\w)~~?[A-Z_]{3,}~~?(?!\w)",
     "pipe": r"(?<![\w|])\|\|?[A-Z_]{3,}\|\|?(?!\w)",
-    "no_value": r"(?:(?<=€ )|(?<=[:,] )|(?<=\bο )|(?<=[£$€]))(?:undefined|NaN|null|None|\[object Object\])(?=[.,;]?(?:\s|$))",
+    "no_value": r"(?:(?<=€ )|(?<=[:,] )|(?<=[^\x00-\x7f] )|(?<=Dear )|(?<=Sayın )|(?<=[£$€]))(?:undefined|NaN|null|None|\[object Object\])(?=[.,;:]?(?:\s|$))",
     "object": r"\[object Object\]",
 }
 _PLACEHOLDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PLACEHOLDERS.items()))
 #: Where a grammar can begin; the grammars are tried only there.
-_START = re.compile(r"[{<\[$%#@~|«]|&lt;|__|\?\?(?=\w)|(?:XX|DD|ΧΧ|ΗΗ|GG)(?=[/.-])|undefined|NaN|null|None|\((?=(?i:[^()\n]{0,40}(?:συμπλ|doldurul|tb[cd]|to be|fill|compl|ausz|запол)))")
+_START = re.compile(r"[{<\[$%#@~|«]|&lt;|__|\?\?(?=\w)|(?:XX|DD|ΧΧ|ΗΗ|GG)(?=[/.-])|undefined|NaN|null|None|\((?=(?i:[^()\n]*?(?:συμπλ|doldurul|tb[cd]|to be|fill|compl|ausz|запол)))")
 #: Substrings of lower-case text of which every message or filler has one; texts without any are content.
 STEMS = (
     "error|not found|could not be|cannot be|does not|temporarily|expired|no longer|been moved|been removed|been deleted|denied|refused|restricted|permission|have access|authoris|authoriz|forbidden|session|sign in|log in|again|no result|spelling|fewer terms|your search|maintenance|system|too many|limited|limit|unable to|something|oops|unexpected|not respond|unavailable|is down|timed out|overloaded|gateway|bad request|refresh|contact the|return to|link you|incident|inconvenience|apolog|script|cookie|browser|human|robot|security check|captcha|seconds|please wait|reload|loading…|traceback|file \"|exception:|error:|warning:|notice:|stack trace|expects|on line|ora-|sqlstate|status|gone|error"
@@ -92,11 +97,19 @@ def _has_stem(text: str) -> bool:
 
 #: Words in square brackets that are editorial, not fields.
 _EDITORIAL = re.compile(r"(?i)\[\s*(?:sic|emphasis.*|…|\.{2,}|[\d\s,.;:/–-]+|[ivxlc]+|\w)\s*\]")
-_QUOTED = re.compile(r"«[^«»\n]{0,400}»|“[^“”\n]{0,400}”|„[^„“”\n]{0,400}[“”]|(?<![\w\"])\"[^\"\n]{0,400}\"|「[^」\n]{0,400}」|(?<![\w'])‘[^‘’\n]{0,400}’(?!\w)")
+_QUOTED = re.compile(r"«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]|(?<![\w\"])\"[^\"\n]*\"|「[^」\n]*」|(?<![\w'])‘[^‘’\n]*’(?!\w)")
 _CODE = re.compile(r"```.*?```|`[^`\n]+`|<code>.*?</code>|<pre>.*?</pre>", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?…;;。！？])[\s\"'»”)]+|\n+")
-#: A sentence that speaks of fields left open, as a tutorial or a finding does.
-_MENTION = re.compile(r"(?i)\b(?:placeholder|template syntax|never (?:filled|completed)|left blank|standard form read|merge field|syntax|χωρίς (?:ποτέ )?να συμπληρωθεί|κενό πεδίο|ρήτρα του εντύπου|hiç doldurulma|boş bırakıl)")
+#: A sentence that speaks of fields left open, as a finding does.
+_MENTION = re.compile(r"(?i)\b(?:never (?:filled|completed)|left blank|standard form read|nobody ever filled|χωρίς (?:ποτέ )?να συμπληρωθεί|κενό πεδίο|ρήτρα του εντύπου|hiç doldurulma|boş bırakıl)")
+#: A sentence that speaks of the syntax of fields, as a tutorial does.
+_SYNTAX = re.compile(
+    r"(?i)\b(?:placeholders?|template (?:syntax|language|engine|tag|variable|expression)s?|merge fields?|syntax|jinja|mustache|handlebars|liquid tags?|twig|f-?strings?|format strings?|curly brac\w+|double brac\w+|angle bracket\w*"
+    r"|(?:you|we|one) (?:can |may |would |should )?(?:write|type|put)s?|(?:to|will|would) (?:print|output|render)|renders? (?:as|to|the)|prints? the|expands? to|evaluates? to|variable|loops? over|(?:is|are|gets?) (?:replaced|substituted) (?:by|with)"
+    r"|σύνταξη|μεταβλητή|αγκύλες|άγκιστρα|γράφ(?:ουμε|ετε|εις)|αντικαθίσταται|söz ?dizimi|değişken|yazılır|küme parantez\w*|ile değiştirilir|syntaxe|variable|accolades|on écrit|est remplacé|schreibt man|geschweifte|platzhalter|wird ersetzt|sintaxis|se escribe|sintassi|si scrive|переменн\w+|синтаксис\w*|заменяется|синтаксис)\b"
+)
+_CONTROL = re.compile(r"\{%|\{\{[#/^]|<%(?!=)|\{#")
+_INDENTED = re.compile(r"(?:^(?: {4}|\t)[^\n]*\S[^\n]*(?:\n|\Z)(?:[ \t]*\n)*+)+", re.M)
 
 _FILLER = re.compile(
     r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|λορεμ|ίψουμ|δολόρ|αμέτ|στοιχειοθεσία)\b.*?\b(?:lorem|ipsum|dolor|sit|amet|velit|quidem|ergo|causa|λορεμ|ίψουμ|δολόρ|σιτ|αμέτ|γέμισμα|δοκιμή|τυχαία)\b"
@@ -127,9 +140,21 @@ _MENU = re.compile(r"^[^|.!?]{1,40}(?:\s[|»›>·•]\s[^|.!?]{1,40})+$")
 _CODE_ONLY = re.compile(r"^[\W\dA-F_]*$|^\W*(?:reference|ref|ray|id|κωδικός \w+|incident code|olay kodu|request id)\W+[\w-]+\W*$", re.I)
 
 
-def placeholder(text: str) -> str | None:
-    """The kind of the first unfilled field of ``text`` that is really one."""
+def _code(text: str) -> list[tuple[int, int]]:
+    """Code in the text: marked up, or indented and holding control statements or announced by the line before."""
+    found = [c.span() for c in _CODE.finditer(text)]
+    if "\n    " in text or "\n\t" in text or text[:1] in " \t":
+        for m in _INDENTED.finditer(text):
+            before = text[: m.start()].rstrip().rpartition("\n")[2]
+            if _CONTROL.search(m[0]) or before.endswith(":") or _SYNTAX.search(before):
+                found.append(m.span())
+    return found
+
+
+def fields(text: str) -> list[tuple[str, int]]:
+    """(kind, place) of the unfilled fields of ``text`` that are really some."""
     quoted = code = None
+    out, explained = [], 0
     for start in _START.finditer(text):
         if not (m := _PLACEHOLDER.match(text, start.start())):
             continue
@@ -137,52 +162,106 @@ def placeholder(text: str) -> str | None:
         if _EDITORIAL.fullmatch(found) or kind == "angle" and re.fullmatch(r"</?(?:p|br|b|i|u|a|div|span|td|tr|table|ul|ol|li|h\d|html|body|head|title|em|strong|font|hr|code|pre)\s*>", found, re.I):
             continue
         if quoted is None:
-            quoted, code = [q.span() for q in _QUOTED.finditer(text)], [c.span() for c in _CODE.finditer(text)]
+            quoted, code = [q.span() for q in _QUOTED.finditer(text)], _code(text)
         a, b = m.span()
         if any(s <= a and b <= e for s, e in code):
+            explained += 1
             continue
-        if any(s < a and b < e and len(re.findall(r"[^\W\d_]{1,}", text[s:a] + " " + text[b:e])) for s, e in quoted):
+        if any(s < a and b < e and _WORDS.search(text[s:a] + " " + text[b:e]) for s, e in quoted):
             continue
         start = max(text.rfind(x, 0, a) for x in ("\n", ". ", "! ", "? ", "; ")) + 1
         end = min((e for x in ("\n", ". ", "! ", "? ") if (e := text.find(x, b)) >= 0), default=len(text))
         if _MENTION.search(text, start, end):
             continue
-        return kind
-    return None
+        around = _PLACEHOLDER.sub(" ", text[start:end])
+        if _SYNTAX.search(around):
+            explained += 1
+            continue
+        out.append((kind, a))
+    return out if len(out) >= explained else []
+
+
+def placeholder(text: str) -> str | None:
+    """The kind of the first unfilled field of ``text`` that is really one."""
+    found = fields(text)
+    return found[0][0] if found else None
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _filler_words(unit: str) -> bool:
-    words = [w.lower() for w in _WORDS.findall(unit)]
+#: Beginnings of words that name parts of a site, of what may be the matter with them or is asked of the reader, and of negations.
+SITE = tuple(
+    "page javascript script scripting cookie browser server database connection http url captcha website webpage session login account request gateway firewall network robot"
+    " σελίδα ιστοσελίδα ιστότοπο σενάρι φυλλομετρητ περιηγητ διακομιστ συνεδρία αίτημα σύνδεση διεύθυνση sayfa betik tarayıcı sunucu oturum veritaban bağlantı site erişim"
+    " página pagina navegador servidor sesión sessão conexión script seite browser sitzung verbindung zugriff navigateur serveur connexion browserul sesiunea strona strony stronie przeglądark serwer sesja połączeni"
+    " side siden sida sidan nettleser webbläsare sessie verbinding sivu sivua selain palvelin stránka stránku stránky prohlížeč oldal böngésző kiszolgáló страниц браузер сервер сеанс страницата връзка сървър".split()
+)
+FAULT = tuple(
+    "error found denied expired disabled unavailable forbidden enable reload retry refresh failed missing moved removed blocked timeout maintenance overloaded offline unauthorized required invalid broken closed establishing timed gone"
+    " σφάλμα βρέθηκε έληξε απορρίφθηκε ενεργοποι απενεργοποι ανανεώστε δοκιμάστε συντήρηση διαθέσιμ μετακιν κλειστ hata bulunamad reddedil engellen kapal etkin açın açınız yenile bakım geçersiz kullanılam taşın"
+    " error encontrad denegad negad expirad caducad habilit disponible disponível mantenimiento manutenção trovata trovato negato scadut abilit disponibile manutenzione fehler gefunden verweigert abgelaufen aktivieren verfügbar wartung"
+    " erreur introuvable trouvée refusé expiré activez indisponible eroare găsit refuzat expirat activați błąd znalezion odmowa wygasł włącz niedostępn fejl fundet nægtet udløbet aktiver funnet feil hittades nekad löpt fel fout gevonden geweigerd verlopen"
+    " löydy löytynyt virhe vanhentunut chyba nalezena nenalezena vypršela hiba található lejárt ошибка найден запрещ истек включите недоступ грешка намерен отказан изтекла".split()
+)
+NEGATION = frozenset("not no non nicht nie ne pas ikke inte ej niet ei není nem nu не нет δεν değil không nao não was is has been could be the a la le el die der das esta är er ist wurde blev kunne har".split())
+
+
+_SITE_HEADS, _FAULT_HEADS = frozenset(w[:3] for w in SITE), frozenset(w[:3] for w in FAULT)
+
+
+def _of_site(word: str) -> bool:
+    return word[:3] in _SITE_HEADS and word.startswith(SITE)
+
+
+def _of_fault(word: str) -> bool:
+    return word[:3] in _FAULT_HEADS and word.startswith(FAULT)
+
+
+def _words(text: str) -> list[str]:
+    return _WORDS.findall(text.replace("İ", "i").lower())
+
+
+def _filler_words(words: list[str]) -> bool:
     known = [w for w in words if w in _FILLER_WORDS]
     return len(words) >= 4 and len(known) >= 0.35 * len(words) and len(set(known)) >= 2
 
 
+def _site_message(words: list[str]) -> bool:
+    """Parts of a site and faults make up half of the words."""
+    site, fault = sum(map(_of_site, words)), sum(map(_of_fault, words))
+    return site > 0 and fault > 0 and site + fault >= 0.5 * sum(w not in NEGATION for w in words)
+
+
 def judge(text: str | None) -> tuple[str, float] | None:
-    """('template', 1) or ('message' or 'filler', density), else None."""
+    """('template', share of lines with a field) or ('message' or 'filler', density), else None."""
     if text is None or not text.strip():
         return None
-    if placeholder(text):
-        return "template", 1.0
-    if not _has_stem(text):
+    if found := fields(text):
+        lines = [line for line in text.split("\n") if line.strip()]
+        return "template", min(1.0, len({text.count("\n", 0, at) for _, at in found}) / len(lines))
+    known = set(_words(text))
+    fills = not _FILLER_WORDS.isdisjoint(known)
+    sites = any(map(_of_site, known)) and any(map(_of_fault, known))
+    if not fills and not sites and not _has_stem(text):
         return None
     share = dict.fromkeys(("message", "filler", "content"), 0)
     for line in text.split("\n"):
         line = line.strip()
         if not line or _MENU.match(line) or _REMAINS.search(line):
             continue
-        if len(line) <= 60 and _has_stem(line) and _MESSAGE.search(_QUOTED.sub(" ", line)):
-            share["message"] += len(line)
-            continue
         for unit in _SENTENCE.split(line):
             if not unit.strip() or _CODE_ONLY.match(unit) or _REMAINS.search(unit):
                 continue
             plain = _QUOTED.sub(" ", unit)
             hinted = _has_stem(plain)
-            kind = "filler" if hinted and _FILLER.search(plain) or _filler_words(plain) else "message" if hinted and _MESSAGE.search(plain) else "content"
-            share[kind] += len(unit)
+            words = _words(plain) if fills or sites else []
+            if hinted and _FILLER.search(plain) or fills and _filler_words(words):
+                share["filler"] += len(unit)
+            elif hinted and _MESSAGE.search(plain) or sites and _site_message(words):
+                share["message"] += len(unit)
+            else:
+                share["content"] += len(unit)
     bad = share["message"] + share["filler"]
     density = bad / max(1, bad + share["content"])
     if bad and density >= DENSITY:
