@@ -6,6 +6,7 @@ text's trigrams, bundled by addition, are its profile; the profiles of known tex
 logarithm of each trigram's count and without what all have in common, are the prototypes. A block
 is compared with the prototypes by cosine.
 
+The cosine's denominator follows from the counts of the text's trigrams, their vectors being as good as orthogonal.
 Because a profile is a sum, its product with a prototype is the sum of its trigrams' products with
 it. Those are computed once for each distinct trigram (ahead for all trigrams of the training
 texts, on first sight for others), so that a text costs a look-up a letter whatever the dimension.
@@ -36,16 +37,16 @@ from .seeds import SEEDS
 DIMENSION, SEED = 2048, 20240229
 #: Records sampled for training, characters kept of each language, and distinct trigrams tabulated ahead.
 TRAIN_RECORDS, TRAIN_CHARS, MAX_TRIGRAMS = 1500, 400_000, 120_000
-#: A block differs from its document if its language scores so much better a trigram, and has so many letters.
-BLOCK_MARGIN, BLOCK_LETTERS = 0.30, 12
-#: Letters that suffice where the block is in its language's own script and the document's language has another.
-SCRIPT_LETTERS = 5
+#: Lead by which the seeds must prefer a language for a block to train it: where the hint says the same, where it does not.
+TRAIN_LEADS = (0.04, 0.12)
+#: A block differs from its document if its language's cosine leads by so much (chance moves a cosine by 1 / sqrt(DIMENSION), 0.022), and it has so many letters.
+BLOCK_MARGIN, BLOCK_LETTERS = 0.10, 5
 #: From this lead on a block's letters count in full towards the main language.
-CLEAR = 0.2
+CLEAR = 0.05
 #: ASCII letters and digits in a row that may still be a word.
 LONGEST_WORD = 40
 #: Sharpness of the confidence.
-TEMPERATURE = 12.0
+TEMPERATURE = 60.0
 
 #: Names of the languages of the corpus: codes, three-letter codes, English and native names.
 NAMES = {
@@ -67,7 +68,7 @@ _NAME_OF = {name: code for code, names in NAMES.items() for name in names.split(
 
 #: The script each language is usually written in.
 _OWN_SCRIPT = {"el": "Ͱ-Ͽἀ-῿", "ru": "Ѐ-ӿ", "bg": "Ѐ-ӿ", "ar": "؀-ۿ", "zh": "㐀-鿿", "hi": "ऀ-ॿ", "th": "฀-๿", "hy": "԰-֏"}
-_OWN = {code: re.compile(f"[{_OWN_SCRIPT.get(code, 'A-Za-zÀ-ɏ')}]") for code in NAMES}
+_OWN = {code: re.compile(f"[{script}]") for code, script in _OWN_SCRIPT.items() if code not in ("ru", "bg")}
 
 #: Latin spellings of letters of other alphabets.
 LATIN_OF = {
@@ -79,8 +80,8 @@ LATIN_OF = {
 #: Wrong readings of right text: written in, read in.
 MISREAD = {
     "el": (("cp1253", "cp1252"), ("cp1253", "cp1251"), ("utf_8", "cp1252"), ("utf_8", "latin_1"), ("utf_8", "cp1253"), ("cp737", "cp1253"), ("cp1253", "cp437"), ("cp1253", "cp737")),
-    "ru": (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("utf_8", "cp1252"), ("cp1251", "cp1253"), ("utf_8", "cp1251")),
-    "bg": (("cp1251", "cp1252"), ("utf_8", "cp1252"), ("cp1251", "cp1253"), ("utf_8", "cp1251")),
+    "ru": (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("utf_8", "cp1252"), ("utf_8", "latin_1"), ("cp1251", "cp1253"), ("utf_8", "cp1251")),
+    "bg": (("cp1251", "cp1252"), ("cp1251", "koi8_r"), ("utf_8", "cp1252"), ("utf_8", "latin_1"), ("cp1251", "cp1253"), ("utf_8", "cp1251")),
     "tr": (("utf_8", "cp1252"), ("cp1254", "cp1253")),
 }
 
@@ -151,7 +152,8 @@ def _letters() -> tuple[np.ndarray, np.ndarray, int]:
 
 
 LUT, SCRIPT, CLASSES = _letters()
-_MIXED = re.compile("[A-Za-z][Ͱ-ϿЀ-ԯ]|[Ͱ-ϿЀ-ԯ][A-Za-z]")
+#: What the canonical form may change for a reader of letters: scripts that meet, characters that do not show, wide forms.
+_MIXED = re.compile("[A-Za-z][Ͱ-ϿЀ-ԯ]|[Ͱ-ϿЀ-ԯ][A-Za-z]|[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e]")
 
 
 def _no_codes(cps: np.ndarray, ids: np.ndarray) -> None:
@@ -207,26 +209,34 @@ class Profiles:
             out[at : at + 4096] = self.vectors(codes[at : at + 4096]).astype(np.float32) @ self.prototypes.T
         return out
 
+    @staticmethod
+    def lengths(codes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """Length of each text's profile: bound vectors of different trigrams are as good as orthogonal, so their squared counts add up.
+
+        What they share by chance is a share of the square with a standard deviation of at most sqrt(2 / DIMENSION), 3 percent.
+        """
+        both = np.sort(owner.astype(np.int64) * CLASSES**3 + codes)
+        starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, int)
+        counts = np.diff(np.append(starts, len(both)))
+        square = np.bincount(both[starts] // CLASSES**3, counts.astype(float) ** 2, texts)
+        return np.sqrt(DIMENSION * np.maximum(square, 1)).astype(np.float32)
+
     def ready(self) -> Profiles:
         """Set up the direct look-up, once a worker."""
         self.lookup = np.full(CLASSES**3, -1, np.int32)
         self.lookup[self.known] = np.arange(len(self.known))
-        self.rows = self._best(self.table)
+        self.rows = self.table
         return self
 
-    def _best(self, table: np.ndarray) -> np.ndarray:
-        """Sums over a block are of products, so each prototype keeps its own column."""
-        return table
-
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) mean product with the best prototype of each language, and the number of trigrams."""
+        """(texts x languages) cosine with the best prototype of each language, and the number of trigrams."""
         codes, owner = trigrams(texts)
         at = self.lookup[codes]
         if (unseen := np.unique(codes[at < 0])).size:
             if len(self.rows) + len(unseen) > 4 * MAX_TRIGRAMS:  # forget what was seen in passing
                 self.lookup[:] = -1
                 self.lookup[self.known] = np.arange(len(self.known))
-                self.rows = self._best(self.table)
+                self.rows = self.table
                 unseen = np.unique(codes[self.lookup[codes] < 0])
             self.lookup[unseen] = len(self.rows) + np.arange(len(unseen))
             self.rows = np.concatenate([self.rows, self._products(unseen)])
@@ -236,10 +246,10 @@ class Profiles:
         if len(at):
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sums[owner[starts]] = np.add.reduceat(self.rows[at], starts, axis=0)
-        mean = sums / np.maximum(n, 1)[:, None]
+        cosine = sums / self.lengths(codes, owner, len(texts))[:, None]
         best = np.full((len(texts), len(self.langs)), -np.inf, np.float32)
         for j, k in enumerate(self.column):
-            np.maximum(best[:, k], mean[:, j], out=best[:, k])
+            np.maximum(best[:, k], cosine[:, j], out=best[:, k])
         return best, n
 
 
@@ -273,7 +283,7 @@ def _variants(code: str, text: str) -> list[str]:
             out.append(low.replace("ου", "ou").replace("αυ", "av").replace("ευ", "ev").replace("μπ", "b").replace("ντ", "d").translate(str.maketrans(LATIN_OF["el"])))
     for written, read in MISREAD.get(code, ()):
         data = text.encode(written, "ignore")
-        out.append(data.decode(read, "ignore").replace("\n", " ") if read != "latin_1" else data.decode("latin_1").replace("\n", " "))
+        out.append(data.decode(read, "ignore").replace("\n", " "))
     return out
 
 
@@ -322,15 +332,26 @@ def train(records: list[tuple[str, str | None]]) -> Profiles:
             for b, s, o, k in zip(blocks, score, order, n):
                 lang = model.langs[o[0]]
                 gap = float(s[o[0]] - s[o[1]])
-                if k >= 20 and (gap > 0.25 if lang == hint else gap > 0.6) and size.get(lang, 0) < TRAIN_CHARS:
+                if k >= 20 and gap > TRAIN_LEADS[lang != hint] and size.get(lang, 0) < TRAIN_CHARS:
                     chosen.setdefault(lang, []).append(b)
                     size[lang] = size.get(lang, 0) + len(b)
         model = _train(chosen)
     return model
 
 
-def _own_script(block: str, lang: str, main: str) -> bool:
-    return _OWN[lang].pattern != _OWN[main].pattern and len(_OWN[lang].findall(block)) >= SCRIPT_LETTERS and not _OWN[main].search(block)
+_TO_BYTE = {ord(bytes([b]).decode("cp1252", "ignore") or "\x80"): chr(b) for b in range(0x80, 0xA0)}
+_BYTE = "[\u0080-\u00bf" + "".join(chr(c) for c in _TO_BYTE) + "]"
+_TWICE = re.compile(f"\u00c3{_BYTE}\u00c2{_BYTE}")
+
+
+def _seen(block: str) -> str:
+    """The block as it is profiled: UTF-8 read in Latin-1 or its Windows form again and again is read back while that is possible, look-alikes go to the script of their word."""
+    while _TWICE.search(block):
+        try:
+            block = block.translate(_TO_BYTE).encode("latin_1").decode("utf_8")
+        except UnicodeError:
+            break
+    return " ".join((canonical(block) if _MIXED.search(block) else block).split("\n"))
 
 
 def blocks_of(text: str) -> list[str]:
@@ -347,9 +368,9 @@ def _lost(text: str) -> int:
 
 def _of_script(text: str | None) -> str | None:
     """The language of a text in a script that only one language of the corpus has."""
-    counts = {c: len(p.findall(text)) for c, p in _OWN.items() if c in _OWN_SCRIPT and c not in ("ru", "bg")} if text else {}
+    counts = {c: len(p.findall(text)) for c, p in _OWN.items()} if text else {}
     best = max(counts, key=counts.get, default=None)
-    return best if best and counts[best] >= SCRIPT_LETTERS else None
+    return best if best and counts[best] >= BLOCK_LETTERS else None
 
 
 def judge(model: Profiles, texts: list[str | None], titles: list[str | None] | None = None) -> list[tuple[str | None, float, list[tuple[int, str, float]]]]:
@@ -362,7 +383,7 @@ def judge(model: Profiles, texts: list[str | None], titles: list[str | None] | N
     for i, text in enumerate(texts):
         if text and not text.isspace():
             for no, block in enumerate(blocks_of(text), 1):
-                flat.append(" ".join((canonical(block) if _MIXED.search(block) else block).split("\n")))
+                flat.append(_seen(block))
                 owner.append((i, no))
     out: list = [(None, 0.0, []) for _ in texts]
     if not flat:
@@ -390,7 +411,7 @@ def judge(model: Profiles, texts: list[str | None], titles: list[str | None] | N
             others = [
                 (owner[at + b][1], langs[first[b]], float(confidence[b, first[b]]))
                 for b in range(to - at)
-                if first[b] != main and k[b] >= SCRIPT_LETTERS and s[b, first[b]] - s[b, main] > BLOCK_MARGIN and (k[b] >= BLOCK_LETTERS or _own_script(flat[at + b], langs[first[b]], langs[main]))
+                if first[b] != main and k[b] >= BLOCK_LETTERS and s[b, first[b]] - s[b, main] > BLOCK_MARGIN
             ]
             whole = np.exp(TEMPERATURE * (mean - mean.max()))
             out[i] = (langs[main], float(whole[main] / whole.sum()), others)
