@@ -26,7 +26,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Fewer input splits than cores (one small file): deal the rows out before the heavy step."""
+    """Fewer input splits than cores (small files): deal the rows out before the heavy step.
+
+    Spark cuts files down to 4 MB to occupy all cores, so this concerns inputs below 2 MB a core, or single row groups.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 

@@ -1,7 +1,7 @@
 """Problem 8: assign texts of varying length to containers of fixed capacity.
 
 Texts above the capacity are cut into full pieces and a rest; no other text is cut. Items are dealt
-into buckets by the hash of their id, as many as the total size asks for, so that a bucket's size
+into buckets by the hash of their id and row, as many as the total size asks for, so that a bucket's size
 does not depend on how sources or copies are spread. Within a bucket, items are placed largest first
 by conflict-constrained best fit: containers are ordered by the space left and carry bitmaps of
 the sources and of the clusters of copies they hold; the successor search goes from the tightest
@@ -19,6 +19,9 @@ ids are ordinary values.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,12 +102,15 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int
 
 
 def _checkpoint(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder; a folder of our own only where none is set."""
+    """Cut the lineage in the cluster's shared folder. Where none is set, a local session gets a folder of its own,
+    removed at exit; on a cluster the counts are made twice instead, since no folder of one machine could hold them."""
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexspan-"))
+        if not context.master.startswith("local"):
+            return df
+        folder = tempfile.mkdtemp(prefix="lexspan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -118,26 +124,28 @@ def pack(documents: DataFrame, capacity: int, tokenizer: str = "byte_bpe_50k", i
     counted = _checkpoint(count_tokens(rows, ["id", "source", "cluster"], tokenizer, "text", directory), spark)
     tokens, n_rows = counted.agg(F.coalesce(F.sum(F.col("n_tokens").cast("bigint")), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-tokens // (capacity * BUCKET_CONTAINERS)), -(-n_rows // BUCKET_ROWS))
-    return pack_sized(counted, capacity, int(buckets)).withColumnRenamed("id", id_col)
+    # the row's place spreads rows of one id, or without any, over the buckets like all others
+    placed = counted.withColumn("row", F.monotonically_increasing_id())
+    return pack_sized(placed, capacity, int(buckets)).withColumnRenamed("id", id_col)
 
 
 def pack_sized(counted: DataFrame, capacity: int, buckets: int) -> DataFrame:
-    """The packing of (id, source, cluster, n_tokens) rows in a given number of buckets."""
+    """The packing of (id, source, cluster, n_tokens, row) rows in a given number of buckets."""
     import pyarrow as pa
 
     cuts = F.expr(f"sequence(0, greatest(0, int((n_tokens - 1) div {capacity})))")
-    pieces = counted.select("id", "source", "cluster", "n_tokens", F.explode(cuts).alias("piece")).select(
-        "id", "source", "cluster",
+    pieces = counted.select("id", "source", "cluster", "row", "n_tokens", F.explode(cuts).alias("piece")).select(
+        "id", "source", "cluster", "row",
         (F.col("piece") + 1).cast("int").alias("piece_no"),
         (F.col("piece") * capacity).cast("int").alias("token_start"),
         F.least((F.col("piece") + 1) * capacity, F.col("n_tokens")).cast("int").alias("token_end"),
     )
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.lit(buckets)).cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "row", "piece_no"), F.lit(buckets)).cast("int"))
     kind = counted.schema["id"].dataType.simpleString()
     schema = f"container_id bigint, id {kind}, piece_no int, token_start int, token_end int, n_tokens int, container_offset int"
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("piece_no", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("row", "ascending"), ("piece_no", "ascending")])
         cols = {c: table.column(c).to_pylist() for c in ("source", "cluster", "token_start", "token_end", "bucket")}
         sizes = [b - a for a, b in zip(cols["token_start"], cols["token_end"])]
         # a full piece needs a container of its own, and nothing is without tokens and in a cluster

@@ -34,7 +34,7 @@ WHERE length(text) > (SELECT max(max_size) FROM size_limits WHERE limit_name = '
 
 @query
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passages = read(spark, sf_dir, "passages").select("source_id", "ordinal", "text").dropDuplicates(["source_id", "ordinal"])
+    passages = read(spark, sf_dir, "passages").select("source_id", "ordinal", "text").distinct()
     return splitting.split_oversized(passages, ["source_id", "ordinal"], limits=read(spark, sf_dir, "size_limits"))
 
 

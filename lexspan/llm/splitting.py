@@ -8,7 +8,8 @@ k grows by one. Positions and limits count code points.
 Defined results: null and empty texts have no pieces; a text within the limit is one piece; a
 text with no boundary at all is cut at the targets, never between a letter and its combining
 mark while another place exists. Consecutive pieces share exactly ``overlap`` code points.
-Repeated rows give their pieces once per row unless the caller drops duplicates.
+Repeated rows give their pieces once per row unless the caller drops duplicates. A limits table without the limit
+asked for is an error as soon as there is a text; without an overlap there is none.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def split_oversized(items: DataFrame, keys: list[str], max_size: int | None = No
     """
     if limits is not None:
         row = limits.where(F.col("limit_name") == limit_name)
-        most, over = row.agg(F.max("max_size")).scalar(), row.agg(F.max("overlap")).scalar()
+        missing = F.raise_error(F.lit(f"no limit named {limit_name}")).cast("int")
+        most, over = F.coalesce(row.agg(F.max("max_size")).scalar(), missing), F.coalesce(row.agg(F.max("overlap")).scalar(), F.lit(0))
     else:
         most, over = F.lit(max_size), F.lit(overlap or 0)
     sized = items.select(*keys, F.col(text_col).alias("__text"), most.alias("__max"), over.alias("__over"))

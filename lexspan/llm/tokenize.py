@@ -20,6 +20,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def vocab_path(name: str, directory: str | None = None) -> str:
     return os.path.join(directory or VOCAB_DIR, f"{name}.tiktoken")
 
 
+def ship(df: DataFrame, name: str, directory: str | None) -> str:
+    """Give every executor the vocabulary file of the driver's folder; the path for :func:`shipped`."""
+    path = vocab_path(name, directory)
+    df.sparkSession.sparkContext.addFile(path)
+    return path
+
+
+def shipped(path: str) -> str:
+    """Where the file lies on this machine: as shipped, else under its own path."""
+    here = SparkFiles.get(os.path.basename(path))
+    return here if os.path.exists(here) else path
+
+
 class BytePairEncoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -97,11 +111,11 @@ class BytePairEncoder:
 
 def encode_texts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text", directory: str | None = None) -> DataFrame:
     """(id, ids array<int>) of each row; rows with null ids are kept. No shuffle: one pass over two columns."""
-    path = vocab_path(tokenizer, directory)
+    path = ship(documents, tokenizer, directory)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def factory():
-        bpe = BytePairEncoder(path)
+        bpe = BytePairEncoder(shipped(path))
 
         def chunk(cols):
             ids, texts = cols
@@ -118,11 +132,11 @@ def encode_texts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", id_col:
 
 def count_tokens(documents: DataFrame, columns: list[str], tokenizer: str = "byte_bpe_50k", text_col: str = "text", directory: str | None = None) -> DataFrame:
     """``columns`` and ``n_tokens`` of each row; the ids themselves never leave the worker."""
-    path = vocab_path(tokenizer, directory)
+    path = ship(documents, tokenizer, directory)
     schema = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens int"
 
     def factory():
-        bpe = BytePairEncoder(path)
+        bpe = BytePairEncoder(shipped(path))
         return lambda cols: (*cols[:-1], [bpe.count(t) for t in cols[-1]])
 
     return arrow_map(documents, [*columns, text_col], schema, factory)
@@ -130,11 +144,11 @@ def count_tokens(documents: DataFrame, columns: list[str], tokenizer: str = "byt
 
 def decode_ids(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", id_col: str = "doc_id", directory: str | None = None) -> DataFrame:
     """(id, text) from (id, ids): the exact inverse of :func:`encode_texts`, null texts coming back empty."""
-    path = vocab_path(tokenizer, directory)
+    path = ship(encoded, tokenizer, directory)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def factory():
-        bpe = BytePairEncoder(path)
+        bpe = BytePairEncoder(shipped(path))
         return lambda cols: (cols[0], [bpe.decode(x or ()) for x in cols[1]])
 
     return arrow_map(encoded, [id_col, "ids"], f"{id_col} {kind}, text string", factory)

@@ -505,3 +505,18 @@ def test_arrow_map_checks_nothing_but_its_columns(spark):
     df = frame(spark, [(1, "a"), (2, None)], "k int, t string")
     out = arrow_map(df, ["k", "t"], "k int, n int", lambda: lambda cols: (cols[0], [len(t or "") for t in cols[1]]))
     assert sorted(map(tuple, out.collect())) == [(1, 1), (2, 0)]
+
+
+def test_a_missing_limit_is_an_error(spark):
+    limits = spark.createDataFrame([("container", 10, 0)], "limit_name string, max_size int, overlap int")
+    items = spark.createDataFrame([("a", "some text")], "k string, text string")
+    with pytest.raises(Exception, match="no limit named passage"):
+        splitting.split_oversized(items, ["k"], limits=limits).collect()
+    assert splitting.split_oversized(items.limit(0), ["k"], limits=limits).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_spread(spark):
+    rows = [(None, "s", 7, 3)] * 400 + [(1, "s", 7, 3)] * 400
+    counted = spark.createDataFrame(rows, "id long, source string, cluster long, n_tokens int").withColumn("row", F.monotonically_increasing_id())
+    packed = packing.pack_sized(counted, 9, 8).withColumn("bucket", F.shiftright("container_id", 32)).groupBy("bucket").count().collect()
+    assert len(packed) == 8 and sum(r["count"] for r in packed) == 800 and max(r["count"] for r in packed) < 200
