@@ -1,14 +1,19 @@
 """Problem 2: sentence boundaries in any language or script.
 
 Candidates are the places where a sentence may end: after a run of terminators with its closing
-marks, at a line break, and at spaces in scripts that separate sentences by spaces. Each is
-classified by a maximum-entropy model over the neighbouring tokens (kind, case, length, digits,
-inner periods, script, how often a token ends and begins passages). It is trained on reliable
-boundaries of a bounded sample: a passage's end and a break before a list mark are boundaries, a terminator before a
-small letter, a digit or a comma is none, nor is one after a title or reference abbreviation.
+marks, at a line break, and at spaces in scripts that separate sentences by spaces. A maximum-entropy model decides
+every candidate, of whatever kind, by the neighbouring tokens (abbreviation, initial, number, length, inner periods, script,
+how often a token ends and begins passages), case, digits and marks around it, and the layout (list marks, turns of speech,
+headings, whether lines are filled or ended on purpose). It is trained on the reliable candidates of a bounded sample:
+those whose surroundings leave no doubt (a passage's end, a break before a list mark, a terminator before a
+small letter, a comma or after a title, a line that leaves room for the next word). All others, and all kinds in new surroundings,
+are the model's to generalize to.
 
-An exact check applies what is certain: speech in quotation marks or brackets inside a sentence
-never ends it, a number, bullet or speaker's letter goes with what follows, and a wrapped line goes on.
+What is no candidate is settled before: speech in quotation marks or brackets inside a sentence is closed to boundaries, and a
+leading number, bullet or speaker's letter alone is no sentence.
+
+Features see bounded surroundings: 40 characters for a token (a longer one is a word), 60 for the script of what a semicolon
+ends, 4 on either side of a space.
 
 Positions are code points from 0, ends exclusive. Defined results: null and blank texts have no
 sentences; text without sentence structure is one; every character but white space belongs to
@@ -17,9 +22,11 @@ exactly one sentence, and no sentence starts or ends with white space. Repeated
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, namedtuple
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +37,7 @@ from .canonical import canonical
 
 #: Passages sampled for training.
 TRAIN_PASSAGES = 6000
-ROUNDS, RATE, DECAY = 120, 0.5, 1e-4
+ROUNDS, RATE, DECAY = 400, 0.5, 1e-4
 
 #: Abbreviations that stand before what they belong to.
 BEFORE = set(
@@ -50,6 +57,9 @@ EITHER = set("etc ltd co inc plc corp u.k u.s a.m p.m p.a seq sq al κ.λπ κλ
 CLOSING = set("etc κ.λπ κλπ κ.ά κ.α vb vs usw u.a т.д т.п seq".split())
 _COMPANY = {"ltd", "co", "inc", "şti", "plc", "gmbh", "tic", "san"}
 
+#: Characters on either side of a space that stand for a token, where words are not parted.
+EDGE = 4
+
 _OPEN, _CLOSE = "«“„‘「『（([【\"", "»”」』）)]】\""
 _PAIR = {"«": "»", "“": "”", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】"}
 _TERM = re.compile(r"(?:[.!?…‼⁇⁈⁉։؟।॥。！？｡．;;]+(?:\s?[!?…])*)(?:[\"'»”’」』）)\]】]*)")
@@ -106,10 +116,15 @@ class Candidate:
 
 def candidates(text: str) -> list[Candidate]:
     out: list[Candidate] = []
-    n = len(text)
+    n, led = len(text), 0
     for m in _TERM.finditer(text):
         a, b = m.span()
-        if _LEADERS.match(text, a) or a and text[a - 1] == "." and text[a] == ".":
+        if a < led:
+            continue
+        if leaders := _LEADERS.match(text, a):
+            led = leaders.end()
+            continue
+        if a and text[a - 1] == "." and text[a] == ".":
             continue
         mark = m[0][0]
         # closing marks that were not opened before belong to what follows: a lone ASCII quote after a space is not taken by the pattern
@@ -134,7 +149,7 @@ def candidates(text: str) -> list[Candidate]:
             out.append(Candidate(a, a, go, "\n", prev[0] if prev else "", _next_token(text, go), text[a:go]))
     if _SPACELESS.search(text):
         for m in re.finditer(r"(?<=[฀-๿຀-໿])[^\S\n]+(?=[฀-๿຀-໿])", text):
-            out.append(Candidate(m.start(), m.start(), m.end(), "_", "", "", m[0]))
+            out.append(Candidate(m.start(), m.start(), m.end(), "_", text[max(0, m.start() - EDGE) : m.start()], text[m.end() : m.end() + EDGE], m[0]))
     out.sort(key=lambda c: (c.at, c.end))
     return out
 
@@ -157,74 +172,198 @@ def _case(text: str, at: int) -> str:
     return "list" if c in "•‣◦▪●∙-–—‐" else "mark"
 
 
+#: What a candidate looks like to the model; all fields are small sets of values.
+Look = namedtuple("Look", "kind case next line lead turn layout head ended greek lex following unit length script ends begins mark size inner")
+_KINDS = {"\n": "break", "_": "space", ";": "semicolon", ";": "semicolon", "!": "call", "?": "call", "…": "dots"} | dict.fromkeys("。！？｡।॥։؟⁇⁈⁉‼", "full")
+
+
 class Model:
     """Weights of features, and how often tokens end and begin passages in the sample."""
 
     def __init__(self, weights: dict[str, float], ends: dict[str, float], begins: dict[str, float]):
         self.weights, self.ends, self.begins = weights, ends, begins
+        self.known: dict[Look, float] = {}
+
+    def look(self, text: str, c: Candidate, start: int, layout: int, breaks: list[int]) -> Look:
+        """The features of a candidate in a sentence from ``start``; ``layout`` tells what the text's line breaks mean."""
+        kind = _KINDS.get(c.kind, "dots" if text.startswith("...", c.at) else "stop")
+        line = "\n" in c.gap
+        prev, following = (c.prev, c.next) if kind == "space" else (_norm(c.prev), _norm(c.next))
+        lead = ""
+        if line:
+            lead = "bullet" if _BULLET.match(text, c.go) or _NUMBERED.match(text, c.go) else "speaker" if _SPEAKER.match(text, c.go) else ""
+        head = ended = mark = ""
+        if kind == "break":
+            k = bisect_left(breaks, c.at)
+            if (not k or breaks[k - 1] < start) and c.at - start <= 100:
+                title = _plain_mark(text[start : c.at].strip())
+                if _heading(title):
+                    head = "capitals" if title.isupper() else "open" if title.endswith(_FUNCTION) else "short" if len(title) <= 12 else "title"
+            before = c.at
+            while before > start and text[before - 1].isspace():
+                before -= 1
+            ended = "ended" if before > start and text[before - 1] in ";·;" else ""
+            mark = "list" if _MARK.match(text, start, c.at) and _BULLET.match(text, start) else ""
+        return Look(
+            kind,
+            _case(text, c.go),
+            "inside" if text[c.go] in ",;:·،，)]）»”」" or kind == "break" and text[c.go] == "." else "",
+            "line" if line else "space" if c.gap else "none",
+            lead,
+            "turn" if line and _SPEAKER.match(text, start) else "",
+            layout if line else 0,
+            head,
+            ended,
+            kind == "semicolon" and _greek_question(text, c.at),
+            _lexical(prev),
+            "before" if following in BEFORE and c.next.endswith(".") else "initial" if len(following) == 1 and c.next.endswith(".") else "company" if following in _COMPANY and c.next.endswith(".") else "word",
+            kind == "stop" and _ends_unit(text, c),
+            min(len(prev), 6),
+            _script(prev[-1:]),
+            _bucket(self.ends.get(prev)),
+            _bucket(self.begins.get(following)),
+            mark,
+            "short" if c.at - start < 8 else "long",
+            "." in prev,
+        )
 
-    def features(self, text: str, c: Candidate) -> list[str]:
-        prev = _norm(c.prev)
-        case = _case(text, c.go)
-        nxt = _norm(c.next)
-        kind = "stop" if c.kind in ".．" else "dots" if c.kind == "…" or text[c.at : c.at + 3] == "..." else "break" if c.kind == "\n" else "space" if c.kind == "_" else "mark"
-        length = min(len(prev), 6)
-        lexical = "before" if prev in BEFORE or prev.rpartition("/")[2] in BEFORE else "either" if prev in EITHER else "initial" if len(prev) == 1 and prev.isalpha() else "number" if prev.replace(".", "").replace("/", "").replace(",", "").isdigit() else "inner" if "." in prev else "word"
-        last = prev[-1:]
-        out = [
+    @staticmethod
+    def features(look: Look) -> list[str]:
+        kind, case = look.kind, look.case
+        place = f"{kind},{case},{look.next},{look.line},{look.lead}"
+        return [
             "bias",
             f"kind={kind}",
-            f"case={case}",
-            f"kind={kind},case={case}",
-            f"lex={lexical}",
-            f"lex={lexical},case={case}",
-            f"len={length}",
-            f"script={_script(last) if last else ''}",
-            f"gap={'line' if chr(10) in c.gap else 'space' if c.gap else 'none'}",
-            f"ends={self._bucket(self.ends.get(prev))}",
-            f"begins={self._bucket(self.begins.get(nxt))}",
-            f"nextlex={'before' if nxt in BEFORE and c.next.endswith('.') else 'initial' if len(nxt) == 1 and c.next.endswith('.') else 'word'}",
+            f"case={kind},{case}",
+            f"next={kind},{look.next}",
+            f"place={place}",
+            f"layout={kind},{look.layout},{case}",
+            f"turn={kind},{look.lead},{look.turn},{look.layout}",
+            f"head={kind},{look.head},{case}",
+            f"head={kind},{look.head},{look.begins}",
+            f"begins={kind},{case},{look.layout},{look.mark},{look.begins}",
+            f"ended={kind},{look.ended},{case}",
+            f"greek={kind},{look.greek}",
+            f"greek={kind},{look.greek},{case},{look.line}",
+            f"lex={kind},{look.lex}",
+            f"lex={kind},{look.lex},{case}",
+            f"lex={kind},{look.lex},{look.unit},{case}",
+            f"pair={kind},{look.lex},{look.following},{case}",
+            f"length={kind},{look.length}",
+            f"script={kind},{look.script}",
+            f"ends={kind},{look.ends}",
+            f"begins={kind},{look.begins}",
+            f"both={kind},{look.ends},{look.begins}",
+            f"size={kind},{look.size}",
+            f"inner={kind},{look.inner},{case}",
+            f"all={place},{look.turn},{look.layout},{look.head},{look.ended},{look.greek},{look.lex},{look.following},{look.unit}",
         ]
-        if prev in EITHER or prev in BEFORE:
-            out.append(f"token={prev}")
-        return out
 
-    @staticmethod
-    def _bucket(rate: float | None) -> str:
-        return "?" if rate is None else str(0 if rate == 0 else 1 + int(min(0.999, rate) * 5))
-
-    def probability(self, text: str, c: Candidate) -> float:
-        features = self.features(text, c)
-        if not self.weights:  # too little text to train on: a plain word or number before a capital
-            return 0.9 if "case=upper" in features and ("lex=word" in features or "lex=number" in features) else 0.1
-        z = sum(self.weights.get(f, 0.0) for f in features)
-        return 1 / (1 + np.exp(-z)) if z > -30 else 0.0
-
-
-def _reliable(text: str, c: Candidate, model: Model) -> bool | None:
-    """What is certain about a candidate from its surroundings alone; None where nothing is."""
-    prev, case = _norm(c.prev), _case(text, c.go)
-    if c.kind == "\n":
-        return None if case in ("upper", "plain", "digit", "mark") else case == "list"
-    if c.kind == "_":
-        return None
-    if case == "end":
+    def probability(self, look: Look) -> float:
+        if (p := self.known.get(look)) is None:
+            if not self.weights:  # too little text to train on: a full mark, or a plain word before a capital
+                p = 0.9 if look.kind == "full" or look.case == "upper" and look.lex in ("word", "number") and look.kind != "semicolon" or look.lead == "bullet" else 0.1
+            else:
+                z = sum(self.weights.get(f, 0.0) for f in self.features(look))
+                p = 1 / (1 + math.exp(-z)) if z > -30 else 0.0
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[look] = p
+        return p
+
+
+def _bucket(rate: float | None) -> str:
+    return "?" if rate is None else str(0 if rate == 0 else 1 + int(min(0.999, rate) * 5))
+
+
+def _lexical(prev: str) -> str:
+    if prev in CLOSING:
+        return "closing"
+    if prev in _COMPANY:
+        return "company"
+    if prev in BEFORE or prev.rpartition("/")[2] in BEFORE:
+        return "before"
+    if prev in EITHER:
+        return "either"
+    if len(prev) == 1 and prev.isalpha() and _script(prev) not in ("CJK", "ARABIC", "THAI"):
+        return "initial"
+    if prev.replace(".", "").replace("/", "").replace(",", "").isdigit():
+        return "number"
+    return "inner" if "." in prev else "word" if prev else "none"
+
+
+def _reliable(look: Look) -> bool | None:
+    """What the surroundings of a candidate leave no doubt about; None where they do."""
+    case, often, never = look.case, look.begins in "3456", look.begins == "0"
+    if look.kind == "space":
+        if look.size == "short":
+            return False
+        return True if look.begins in "123456" or look.ends in "123456" else None
+    if look.kind == "break":
+        if look.lead == "bullet" or look.lead == "speaker" and (look.turn or look.layout):
+            return True
+        if case == "lower" or look.next:
+            return False
+        if look.ended:
+            return True
+        if look.head and case in ("upper", "plain", "mark", "digit") and (case != "plain" or look.head == "short"):
+            return True if often or look.head == "capitals" or case in ("mark", "digit") else False if never and look.head == "open" else None
+        if look.layout == 2 and case in ("upper", "plain"):
+            return True
+        if case == "upper" and (look.layout or look.mark):
+            return True if often else False if never else None
+        return False
+    if look.kind == "semicolon":
+        if look.line == "line" and (look.lead or case == "upper"):
+            return True
+        return bool(look.greek) and case != "lower" and not look.next
+    if look.next or case == "lower" and look.lead != "bullet":
+        return False
+    if look.kind == "full":
         return True
-    if case == "lower" or case == "digit" and (prev in BEFORE or prev in EITHER):
+    if look.lead:
+        return look.lex != "before" or look.lead == "bullet"
+    if look.kind in ("call", "dots"):
+        return case != "digit" or look.kind == "call"
+    if case == "digit" and look.lex in ("before", "either", "closing", "company"):
         return False
-    if text[c.go] in ",;:·)，":
+    if look.lex in ("before", "initial") and not look.unit:
         return False
-    if prev in BEFORE or len(prev) == 1 and prev.isalpha() and c.kind == ".":
+    if look.lex == "closing" and case in ("upper", "mark", "end"):
+        return True
+    if look.lex == "company" and look.following == "company":
         return False
-    if "\n" in c.gap and (_BULLET.match(text, c.go) or _SPEAKER.match(text, c.go)) and prev not in EITHER:
+    if look.lex == "number" and case == "upper" and look.following == "before" or case == "end":
         return True
-    if case == "upper" and len(prev) >= 4 and prev not in EITHER and model.ends.get(prev, 0) > 0.05 and model.begins.get(_norm(c.next), 0) > 0.3:
+    if look.length >= 4 and look.lex == "word" and look.ends in "123456" and (case in ("mark", "plain") or case == "upper" and look.begins in "3456"):
+        return True
+    if case == "plain" and look.lex in ("word", "number"):
         return True
     return None
 
 
+#: Passages written for this project, of surroundings that a small sample may lack; their reliable candidates train, too.
+SEED_PASSAGES = (
+    "(a) the first thing;\n(b) the second thing;\n(c) the third thing.",
+    "1. Ο πρώτος λόγος·\n2. Ο δεύτερος λόγος·\n3. Ο τρίτος λόγος.",
+    "Q. Where were you?\nA. At home.\nQ. Alone?\nA. Yes.",
+    "Ε. Πού ήσασταν;\nΑ. Στο σπίτι.\nΕ. Μόνος;\nΑ. Ναι.",
+    "The road was wet; the lamp was broken; nobody came. Then it rained!",
+    "Ήταν βρεγμένος ο δρόμος; Κανείς δεν ήρθε. Γιατί άραγε; Έβρεχε.",
+    "The first page is missing… Nobody knows why. Does it matter? It does.",
+    "桥很旧。没有人修理！为什么？没有钱。",
+    "पुल पुराना था। किसी ने उसे ठीक नहीं किया। क्यों?",
+    "الجسر قديم. لماذا لم يصلحه أحد؟ لا يوجد مال.",
+    "Կամուրջը հին էր։ Ոչ ոք չնորոգեց այն։",
+    "FACTS\nThe bridge was old.\nNobody repaired it.",
+    "- the first item\n- the second item\n- the third item",
+    "• το πρώτο\n• το δεύτερο",
+    "The witness was called by the plaintiff and\nspoke of the bridge, which had been old for\nyears.",
+)
+
+
 def train(passages: list[str]) -> Model:
-    passages = [p for p in dict.fromkeys(passages) if p and p.strip()]
+    passages = [p for p in dict.fromkeys([*passages, *SEED_PASSAGES]) if p and p.strip()]
     total, last, first = Counter(), Counter(), Counter()
     for text in passages:
         tokens = [x for x in text.split()]
@@ -244,32 +383,59 @@ def train(passages: list[str]) -> Model:
         upper.update(_norm(x.strip("\"'«»“”„()[],:;")) for x in text.split() if x.lstrip("\"'«“„([")[:1].isupper())
     ends = {t: last[t] / n for t, n in total.items() if n >= 3}
     begins = {t: first[t] / max(1, upper[t]) for t, n in total.items() if n >= 3 and upper[t]}
+    for text in passages:  # edges of what spaces part, in scripts without spaces between words
+        if _SPACELESS.search(text):
+            parts = text.split()
+            for table, edges, edge in ((begins, [x[:EDGE] for x in parts], parts[0][:EDGE]), (ends, [x[-EDGE:] for x in parts], parts[-1][-EDGE:])):
+                for x in edges:
+                    table.setdefault(x, 0.0)
+                table[edge] = 1.0
     model = Model({}, ends, begins)
     rows, labels = [], []
     for text in passages:
+        layout = _itemised(text) if "\n" in text else 0
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        start = _first_solid(text, 0)
         for c in candidates(text):
-            label = _reliable(text, c, model)
+            if c.end <= start or _only_mark(text, start, c):
+                continue
+            look = model.look(text, c, start, layout, breaks) if c.go < len(text) else None
+            label = _reliable(look) if look else None
             if label is not None:
-                rows.append(model.features(text, c))
+                rows.append(look)
                 labels.append(label)
-    index = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}))}
+                if look.greek and look.line != "line":  # in Latin letters the same place is none, however rare there
+                    rows.append(look._replace(greek=False))
+                    labels.append(False)
+            if label:
+                start = c.go
+    counts = Counter(zip(rows, labels))
+    features = [model.features(look) for look, _ in counts]
+    index = {f: i for i, f in enumerate(sorted({f for r in features for f in r}))}
     if not index or len(set(labels)) < 2:
         return model
-    width = max(map(len, rows))
-    x = np.full((len(rows), width), len(index))
-    for i, r in enumerate(rows):
-        x[i, : len(r)] = [index[f] for f in r]
-    y, w, g2 = np.array(labels, float), np.zeros(len(index) + 1), np.full(len(index) + 1, 1e-6)
+    x = np.array([[index[f] for f in r] for r in features])
+    y, weight = np.array([label for _, label in counts], float), np.array(list(counts.values()), float)
+    weight /= weight.sum()
+    w, g2 = np.zeros(len(index)), np.full(len(index), 1e-6)
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
-        g = np.bincount(x.ravel(), np.repeat((p - y) / len(y), width), len(w)) + DECAY * w
-        g[-1] = 0
+        g = np.bincount(x.ravel(), np.repeat((p - y) * weight, x.shape[1]), len(w)) + DECAY * w / len(w)
         g2 += g * g
         w -= RATE * g / np.sqrt(g2)
     model.weights = {f: float(w[i]) for f, i in index.items()}
+    model.known.clear()
     return model
 
 
+def _only_mark(text: str, start: int, c: Candidate) -> bool:
+    """Whether nothing but a leading number, bullet or letter stands before the candidate."""
+    if c.at - start > 20:
+        return False
+    sofar = text[start : c.at].strip()
+    return not sofar or _MARK.fullmatch(text[start : c.end].strip() + " ") is not None and c.kind not in "\n_" or c.kind == "." and len(sofar) <= 4 and sofar.strip("([（").isdigit()
+
+
 def _spans(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, bracket) of matched quotations and brackets, outermost first; those without a partner are left out."""
     out, stack = [], []
@@ -324,6 +490,7 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
     itemised = _itemised(text) if "\n" in text else 0
     spans = _spans(text)
     cands = candidates(text)
+    breaks = [m.start() for m in re.finditer("\n", text)]
     # a quotation or bracket inside a sentence: everything between its marks is closed to boundaries
     shut: list[tuple[int, int]] = []
     ends_at: set[int] = set()
@@ -331,7 +498,7 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
         inner = text[a + 1 : b - 1]
         if not re.search(r"[.!?…;;։؟।。！？\n]", inner):
             continue
-        before = _bare_start(text, a, begin)
+        before = _bare_start(text, a, breaks)
         after = _first_solid(text, b)
         tail = text[after : after + 1]
         complete = re.search(r"[.!?…;;։؟।。！？][\"'»”’)\]」）]*$", text[a : b - 1].rstrip()) is not None
@@ -359,7 +526,7 @@ def split(text: str | None, model: Model) -> list[tuple[int, int]]:
             at += 1
         if at < len(outer) and outer[at][0] < c.at and (c.end < outer[at][1] or c.kind == "\n" or outer[at][1] not in ends_at):
             continue
-        if _boundary(text, c, start, itemised, model):
+        if not _only_mark(text, start, c) and model.probability(model.look(text, c, start, itemised, breaks)) > 0.5:
             out.append((start, c.end))
             start = c.go
     out.append((start, n))
@@ -374,69 +541,22 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _bare_start(text: str, at: int, begin: int) -> bool:
+_BLANK = " \t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u3000\u200b\u200c\u200d\ufeff"
+_CLOSED = "\"'»”’)]」）"
+
+
+def _bare_start(text: str, at: int, breaks: list[int]) -> bool:
     """Whether a sentence may begin at ``at``: nothing before it but a mark, a line break or a closed sentence."""
-    head = text[max(0, at - 200) : at].rstrip(" \t  　​‌‍﻿")
-    line = head.rpartition("\n")[2]
-    if not head or not line.strip() or _MARK.fullmatch(line.strip() + " "):
-        return True
-    return re.search(r"[.!?…;։؟।。！？][\"'»”’)\]」）]*$", head) is not None and not re.search(r"[A-Za-z];$", head)
-
-
-def _boundary(text: str, c: Candidate, start: int, itemised: int, model: Model) -> bool:
-    line_break = "\n" in c.gap
-    case = _case(text, c.go)
-    nxt = text[c.go]
-    sofar = text[start : c.at]
-    bullet = line_break and (_BULLET.match(text, c.go) or _NUMBERED.match(text, c.go)) is not None
-    speaker = line_break and _SPEAKER.match(text, c.go) is not None
-    if c.kind == "_":
-        return len(sofar.strip()) >= 8
-    if c.kind == "\n":
-        if bullet or speaker and (_SPEAKER.match(text, start) is not None or itemised):
-            return True
-        if case == "lower" or nxt in ",.;:)»”":
-            return False
-        ended = re.search(r"[;·;]\s*$", sofar) is not None
-        if ended:
-            return case != "lower"
-        previous = sofar.rpartition("\n")[2].strip()
-        if previous == sofar.strip() and (_heading(_plain_mark(previous)) and (case in ("upper", "plain", "mark", "digit")) and (case != "plain" or len(previous) <= 12)):
-            # names also begin lines: a heading is followed by a word that begins sentences, or by a list
-            return model.begins.get(_norm(c.next), 0.5) > 0.12 or previous.isupper() or not previous.endswith(tuple(_FUNCTION))
-        if itemised == 2 and case in ("upper", "plain"):
-            return True
-        if case == "upper" and (itemised or _MARK.match(sofar) and _BULLET.match(text, start)):
-            return model.begins.get(_norm(c.next), 0.5) > 0.25
-        return False
-    prev = _norm(c.prev)
-    # a leading number, bullet or letter is no sentence
-    if not sofar.strip() or _MARK.fullmatch((sofar + text[c.at : c.end]).strip() + " ") or c.kind == "." and len(sofar.strip()) <= 4 and sofar.strip().strip("([（").isdigit():
-        return False
-    if c.kind in ";;":
-        greek = _greek_question(text, c.at)
-        if line_break and (bullet or speaker or case == "upper"):
-            return True
-        return greek and case not in ("lower",) and nxt not in ",;:·)»”"
-    if case == "lower" and not (line_break and bullet) or nxt in ",;:·،，)]）»”」":
-        return False
-    if c.kind in "。！？｡।॥։؟":
+    k = bisect_left(breaks, at)
+    line = breaks[k - 1] + 1 if k else 0
+    end = at
+    while end > line and text[end - 1] in _BLANK:
+        end -= 1
+    if not text[line:end][:20].strip() and not text[line:end].strip() or end - line <= 20 and _MARK.fullmatch(text[line:end].strip() + " "):
         return True
-    if speaker or bullet:
-        return prev not in BEFORE or line_break and bullet
-    if c.kind in "!?" or c.kind == "…" or text[c.at : c.at + 3] == "...":
-        return case not in ("lower", "digit") or case == "digit" and c.kind in "!?"
-    if case == "digit" and (prev in BEFORE or prev in EITHER):
-        return False
-    if prev in BEFORE or len(prev) == 1 and prev.isalpha() and _script(prev) not in ("CJK", "ARABIC", "THAI") and not _ends_unit(text, c):
-        return False
-    if prev in CLOSING and case in ("upper", "mark", "end"):
-        return True
-    if prev in _COMPANY and _norm(c.next) in _COMPANY and c.next.endswith("."):
-        return False
-    if prev.isdigit() and case == "upper" and c.next.endswith(".") and _norm(c.next) in BEFORE:
-        return True  # a number at the end, and a title or reference that begins what follows
-    return model.probability(text, c) > 0.5
+    while end > line and text[end - 1] in _CLOSED:
+        end -= 1
+    return end > line and text[end - 1] in ".!?…;;։؟।。！？" and not (text[end - 1] == ";" and end - line > 1 and text[end - 2].isascii() and text[end - 2].isalpha())
 
 
 #: Words after which a line can't be a heading's end.
