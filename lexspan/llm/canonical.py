@@ -179,6 +179,34 @@ def canonical(text: str | None) -> str | None:
     return text
 
 
+@lru_cache(65536)
+def _script_of(word: str) -> str | None:
+    """The script of a word's letters that have no look-alike, None where there is none, '' for more than one."""
+    own = {unicodedata.name(c, "").split(" ")[0] for c in unicodedata.normalize("NFD", word).translate(TO_LATIN) if c.isalpha() and c not in LATIN}
+    return None if not own else own.pop() if len(own) == 1 else ""
+
+
+def in_context(text: str) -> str:
+    """The canonical form for readers of a language, not for comparisons: words of look-alikes only are in the script of the nearest
+    word before, else after, that has one, else in Latin letters."""
+    form = canonical(text)
+    if not _OTHER.search(text):
+        return form
+    words = list(_OUTER.finditer(form))
+    script = next((s for w in words if (s := _script_of(w[0]))), "LATIN")
+    parts, at = [], 0
+    for w in words:
+        own = _script_of(w[0])
+        if own:
+            script = own
+        elif own is None and (table := FROM_LATIN.get(script)):
+            plain = unicodedata.normalize("NFD", w[0])
+            if all(ord(c) in table for c in plain if c.isalpha()):
+                parts += (form[at : w.start()], unicodedata.normalize("NFC", plain.translate(table)))
+                at = w.end()
+    return "".join(parts) + form[at:]
+
+
 _SPACES = re.compile(r"\s+")
 _OUTER = re.compile(r"[^\W\d_]+")
 

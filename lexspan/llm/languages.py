@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import arrow_map, bounded_sample
-from .canonical import canonical
+from .canonical import in_context
 from .seeds import SEEDS
 
 DIMENSION, SEED = 2048, 20240229
@@ -351,7 +351,7 @@ def _seen(block: str) -> str:
             block = block.translate(_TO_BYTE).encode("latin_1").decode("utf_8")
         except UnicodeError:
             break
-    return " ".join((canonical(block) if _MIXED.search(block) else block).split("\n"))
+    return " ".join((in_context(block) if _MIXED.search(block) else block).split("\n"))
 
 
 def blocks_of(text: str) -> list[str]:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .arrowmap import arrow_map, bounded_sample
-from .canonical import canonical
+from .canonical import in_context
 
 #: Passages sampled for training.
 TRAIN_PASSAGES = 6000
@@ -78,7 +78,7 @@ _INVISIBLE = re.compile("[­​-‏⁠﻿‪-‮]")
 def _norm(token: str) -> str:
     token = _INVISIBLE.sub("", token)
     if not token.isascii():
-        token = unicodedata.normalize("NFC", canonical(unicodedata.normalize("NFKC", token)))
+        token = unicodedata.normalize("NFC", in_context(unicodedata.normalize("NFKC", token)))
     return token.strip(".…!?;").lower().replace("i̇", "i")
 
 
