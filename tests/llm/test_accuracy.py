@@ -111,3 +111,10 @@ def test_containers_hold_every_token_once(spark):
     assert all(a[1] == b[0] for s in spans.values() for a, b in zip(sorted(s), sorted(s)[1:]))
     assert len(used) <= -(-sum(sizes.values()) // 4096) * 1.02 + 1
     assert packing.cut_sizes(10, 4) == [(0, 4), (4, 8), (8, 10)]
+
+
+def test_one_short_garbled_line_is_enough(trained):
+    text = "The appeal was dismissed.\n\nÂ© Rulings Portal. All rights reserved."
+    garbled, whole, fixed = trained[0].texts([text])[0]
+    assert garbled and whole and fixed.endswith("\n© Rulings Portal. All rights reserved.")
+    assert trained[0].texts(["The café «Élan» was closed at 25° on Friday. © 2020"])[0][0] is False

@@ -520,10 +520,3 @@ def test_rows_of_one_id_or_none_are_spread(spark):
     counted = spark.createDataFrame(rows, "id long, source string, cluster long, n_tokens int").withColumn("row", F.monotonically_increasing_id())
     packed = packing.pack_sized(counted, 9, 8).withColumn("bucket", F.shiftright("container_id", 32)).groupBy("bucket").count().collect()
     assert len(packed) == 8 and sum(r["count"] for r in packed) == 800 and max(r["count"] for r in packed) < 200
-
-
-def test_one_short_garbled_line_is_enough(repairer):
-    text = "The appeal was dismissed.\n\nÂ© Rulings Portal. All rights reserved."
-    garbled, whole, fixed = repairer.texts([text])[0]
-    assert garbled and whole and fixed.endswith("\n© Rulings Portal. All rights reserved.")
-    assert repairer.texts(["The café «Élan» — 25° — closed. © 2020"])[0][0] is False
