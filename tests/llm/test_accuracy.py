@@ -114,7 +114,7 @@ def test_containers_hold_every_token_once(spark):
 
 
 def test_one_short_garbled_line_is_enough(trained):
-    text = "The appeal was dismissed.\n\nThe temperature was 86Â° in the room."
+    text = "The appeal was dismissed.\n\nThe temperature was 86Â° and the VojtÄ›Å¡ek was closed."
     garbled, whole, fixed = trained[0].texts([text])[0]
-    assert garbled and whole and fixed.endswith("\nThe temperature was 86° in the room.")
+    assert garbled and whole and fixed.endswith("\nThe temperature was 86° and the Vojtěšek was closed.")
     assert trained[0].texts(["The café «Élan» was closed at 25° on Friday. © 2020"])[0][0] is False
