@@ -6,17 +6,17 @@ code points. Null in, null out, unless a default is named.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Spaces that forbid a line break.
 NO_BREAK = "[\\u00A0\\u2007\\u202F]"
-#: Named entities that text of web pages uses, with what they stand for. The ampersand comes last: it may build another.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "euro": "€"}
+#: Named entities that text of web pages uses, with what they stand for.
+ENTITIES = {"amp": "&", "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "euro": "€"}
 #: Tags whose end is the end of a block.
-BLOCK_TAGS = "p|div|h[1-6]|li|tr|table|section|article|blockquote|ul|ol|pre"
+BLOCK_TAGS = "p|div|h[1-6]|li|tr|table|section|article|header|footer|blockquote"
 
 
 def col(c: Column | str) -> Column:
@@ -39,35 +39,69 @@ def normalize_newlines(c: Column | str) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(c, "[ \t]+\n", "\n"), "\n{4,}", "\n\n\n"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: within lambdas the engine shares no subexpressions, and deep ones are not copied."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _tail(parts: Column) -> Column:
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def decode_entities(c: Column | str) -> Column:
-    """Named, decimal and hexadecimal entities; unknown ones stay as they are."""
-    c = col(c)
-    for name, to in ENTITIES.items():
-        c = F.regexp_replace(c, f"(?i)&{name};", to)
-    # numeric ones: what follows each '&#' up to ';' as a code point, without leaving the JVM
-    parts = F.split(c, "&#")
+    """Named, decimal and hexadecimal entities, in one pass: what an entity stands for is not read again; unknown ones stay as they are.
+
+    The text is cut at its ampersands; a part that begins with a known name or number and a semicolon gives its character.
+    """
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def one(part: Column) -> Column:
-        code = F.regexp_extract(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        rest = F.regexp_replace(part, "^[0-9xXa-fA-F]{1,8};", "")
-        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 9), 16, 10).cast("int")).otherwise(code.cast("int"))
-        good = (code != "") & (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(good, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
+        def decoded(name: Column) -> Column:
+            low = F.lower(name)
+            digits = F.when(F.startswith(low, F.lit("#x")), F.conv(F.substring(low, 3, 6), 16, 10)).when(F.startswith(low, F.lit("#")), F.substring(low, 2, 7))
+            number = digits.cast("int")
+            good = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+            char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.try_element_at(names, low))
+            return F.coalesce(F.concat(F.when(name != "", char), F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+
+        return bound(F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});", 1), decoded)
 
-    c = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
-    return F.regexp_replace(c, "(?i)&amp;", "&")
+    return bound(F.split(col(c), "&"), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(_tail(parts), one), "")))
 
 
 def strip_tags(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), "<[^>]*>", "")
+    """Tags out, from a '<' to the next '>', which must not follow at once.
+
+    The text is cut at its '>'; of each part but the last, what follows the first '<' goes. That is one pass, also over tags without an end.
+    """
+
+    def kept(part: Column) -> Column:
+        at = F.instr(part, "<")
+        return F.when((at > 0) & (at < F.length(part)), F.substr(part, F.lit(1), at - 1)).otherwise(F.concat(part, F.lit(">")))
+
+    return bound(F.split(col(c), ">"), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), kept), ""), F.element_at(parts, -1)))
+
+
+def _without_raw(c: Column) -> Column:
+    """Scripts and styles out. The text is cut at their beginnings; each part loses what it holds up to its end, if it has one."""
+    for name in ("script", "style"):
+        after = _after_end(name)
+        c = bound(F.split(c, rf"(?i)<{name}(?=[\s>/])"), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(_tail(parts), after), "")))  # noqa: B023
+    return c
+
+
+def _after_end(name: str) -> Callable[[Column], Column]:
+    def rest(part: Column) -> Column:
+        return bound(F.split(part, rf"(?i)</{name}\s*>", 2), lambda ends: F.when(F.size(ends) > 1, F.element_at(ends, 2)).otherwise(F.concat(F.lit(f"<{name}"), part)))
+
+    return rest
 
 
 def html_to_text(c: Column | str) -> Column:
     """Visible text of a page: scripts and styles go first, block ends become empty lines, list items get bullets."""
-    c = F.regexp_replace(col(c), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    c = _without_raw(col(c))
     c = F.regexp_replace(c, rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)<li\b[^>]*>", "• ")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)<li\b[^>]*+>", "• ")
     return normalize_newlines(decode_entities(strip_tags(c)))
 
 
@@ -179,11 +213,39 @@ def omitted(c: Column | str) -> Column:
     return F.when(col(c).isNotNull(), F.concat(F.lit("[omitted: "), F.length(col(c)).cast("string"), F.lit(" characters]")))
 
 
+def folded(c: Column) -> Column:
+    """Without case: lower letters, the three sigmas as one and the four i with and without a dot as one, on any engine alike."""
+    return F.lower(F.translate(c, "ΣςİIı", "σσiii"))
+
+
 def distinct_folded(items: Column) -> Column:
     """Of an array of strings the trimmed, non-empty ones, each spelling's first case-folded occurrence, in order."""
     cleaned = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    folded = F.transform(cleaned, lambda x: F.lower(x))
-    return F.filter(F.transform(cleaned, lambda x, i: F.when(F.array_position(folded, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+
+    def once(cleaned: Column) -> Column:
+        keys = F.transform(cleaned, folded)
+        return F.filter(cleaned, lambda x, i: F.array_position(keys, folded(x)) == i + 1)
+
+    return bound(cleaned, once)
+
+
+def flattened(items: Column, members: Sequence[str]) -> Column:
+    """The text of an array of structures: of each the first of ``members`` that is not blank; blanks are left out."""
+    first = lambda x: F.coalesce(*[F.nullif(F.trim(x[m].cast("string")), F.lit("")) for m in members])
+    return F.array_join(F.filter(F.transform(items, first), lambda x: x.isNotNull()), " ")
+
+
+def matches_all(c: Column | str, patterns: Sequence[str]) -> Column:
+    """Whether every pattern is found; null counts as no text."""
+    out = F.lit(True)
+    for p in patterns:
+        out = out & F.coalesce(F.regexp_like(col(c), F.lit(p)), F.lit(False))
+    return out
+
+
+def at_least(c: Column, floor: float) -> Column:
+    """A confidence raised to a floor."""
+    return F.greatest(F.lit(floor), c)
 
 
 def ordinal_after(c: Column | str, words: Sequence[str]) -> Column:

@@ -117,6 +117,65 @@ def score_sheet(checked: DataFrame, weights: dict[str, int], required: dict[str,
     return sheet.withColumn("final", F.greatest(F.lit(0), F.least(F.lit(100), F.col("score") - F.col("penalty"))).cast("bigint"))
 
 
+def readiness(scores: DataFrame, issues: DataFrame, maps: DataFrame, sources: DataFrame, reviews: DataFrame, penalties: dict[str, tuple[int, int]], points: dict[str, int]) -> DataFrame:
+    """(document, score, source, map, review, penalty, n_critical, final): the completeness of claims with all that adds to it or takes from it.
+
+    ``maps`` has (complete, overlap_free), ``sources`` (official, has_url), ``reviews`` (recommendation) by document; ``points`` the worth of
+    'official', 'pasted', 'map', 'approve' and 'reject'. A penalty counts for each issue of its severity up to its most, none
+    of which bounds the first severity if that is negative. The sum lies within 0 and 100.
+    """
+    lost = issues.groupBy("source_id").agg(
+        *[F.count_if(F.col("severity") == s).alias(f"__{s}") for s in penalties],
+    )
+    joined = scores.join(lost, "source_id", "left").join(maps.select("source_id", "complete", "overlap_free"), "source_id", "left")
+    joined = joined.join(sources.select("source_id", "official", "has_url"), "source_id", "left").join(reviews.select("source_id", "recommendation"), "source_id", "left")
+    count = lambda s: F.coalesce(F.col(f"__{s}"), F.lit(0))
+    parts = [count(s) * each if most < 0 else F.least(count(s) * each, F.lit(most)) for s, (each, most) in penalties.items()]
+    found = joined.select(
+        "source_id", "score",
+        F.when(F.coalesce("official", F.lit(False)), points["official"]).when(~F.coalesce("has_url", F.lit(False)), points["pasted"]).otherwise(0).alias("source"),
+        F.when(F.coalesce("complete", F.lit(False)) & F.coalesce("overlap_free", F.lit(False)), points["map"]).otherwise(0).alias("map"),
+        F.when(F.col("recommendation") == "approve", points["approve"]).when(F.col("recommendation") == "reject", -points["reject"]).otherwise(0).alias("review"),
+        sum(parts[1:], parts[0]).cast("bigint").alias("penalty"), count(next(iter(penalties))).cast("bigint").alias("n_critical"), F.coalesce("recommendation", F.lit("review")).alias("recommendation"),
+    )
+    total = F.col("score") + F.col("source") + F.col("map") + F.col("review") - F.col("penalty")
+    return found.withColumn("final", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("bigint"))
+
+
+def strictly_ready(ready: DataFrame, claims: DataFrame, least: int, all_of: Sequence[str], any_of: Sequence[str], coded: tuple[str, Sequence[str]]) -> DataFrame:
+    """``ready`` with ``strict``: the least score, nothing critical, no rejection, every field of ``all_of`` and one of ``any_of`` available,
+    the value of the ``coded`` field in its vocabulary."""
+    path, vocabulary = coded
+    good = F.col("status") == "available"
+    skeleton = claims.groupBy("source_id").agg(
+        *[F.bool_or(good & (F.col("field_path") == p)).alias(f"__a{i}") for i, p in enumerate(all_of)],
+        F.bool_or(good & F.col("field_path").isin(*any_of)).alias("__any"),
+        F.bool_or(good & (F.col("field_path") == path) & F.col("value").isin(*vocabulary)).alias("__coded"),
+    )
+    columns = [f"__a{i}" for i in range(len(all_of))] + ["__any", "__coded"]
+    joined = ready.join(skeleton, "source_id", "left")
+    strict = (F.col("final") >= least) & (F.col("n_critical") == 0) & (F.col("recommendation") != "reject")
+    for c in columns:
+        strict = strict & F.coalesce(c, F.lit(False))
+    return joined.withColumn("strict", strict).drop(*columns)
+
+
+def suppressed_by(issues: DataFrame, claims: DataFrame, rules: Sequence[tuple[str, str, str | None]]) -> DataFrame:
+    """Issues without those that a rule settles: (code pattern, field, pattern): the field is available, and its value has no match."""
+    settled = None
+    for i, (code, path, unless) in enumerate(rules):
+        good = (F.col("field_path") == path) & (F.col("status") == "available")
+        if unless is not None:
+            good = good & ~F.coalesce(F.regexp_like("value", F.lit(unless)), F.lit(False))
+        settled = [*(settled or []), F.bool_or(good).alias(f"__r{i}")]
+    by_document = claims.groupBy("source_id").agg(*settled)
+    joined = issues.join(by_document, "source_id", "left")
+    gone = F.lit(False)
+    for i, (code, _, _) in enumerate(rules):
+        gone = gone | (F.regexp_like("code", F.lit(code)) & F.coalesce(f"__r{i}", F.lit(False)))
+    return joined.where(~gone).select(issues.columns)
+
+
 def gate(scores: DataFrame, threshold: int, placeholder: str) -> DataFrame:
     """Rows that go on, and those below the threshold with a placeholder in place of a result: one branch each."""
     return scores.withColumn("outcome", F.when(F.col("final") >= threshold, F.lit("continue")).otherwise(F.lit(placeholder)))

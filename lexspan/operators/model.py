@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 class ModelClient(Protocol):
     def answer(self, payload: str) -> str:
@@ -60,6 +62,15 @@ def structured(answers: DataFrame, schema: str) -> DataFrame:
     return answers.withColumn("parsed", F.from_json("answer", schema, {"mode": "PERMISSIVE"}))
 
 
+def review_context(passages: DataFrame, anchors: DataFrame, head: int = 45, tail: int = 90, key: str = "source_id", order: str = "ordinal", id_col: str = "id") -> DataFrame:
+    """(key, order, in_head, in_tail, named): the passages a reviewer sees: the first, the last, and those that evidence names."""
+    placed = numbered(passages.select(key, order, id_col).distinct(), key, order)
+    named = anchors.select(key, F.explode("passage_ids").alias(id_col)).distinct().withColumn("__named", F.lit(True))
+    joined = placed.join(named, [key, id_col], "left")
+    seen = joined.select(key, order, (F.col("rn") <= head).alias("in_head"), (F.col("n") - F.col("rn") < tail).alias("in_tail"), F.coalesce("__named", F.lit(False)).alias("named"))
+    return seen.where("in_head or in_tail or named")
+
+
 def payloads(passages: DataFrame, key: str, order: str, text: str, kinds: DataFrame | None = None, head: int | None = None) -> DataFrame:
     """(key, payload): the passages of a document that a stage asks about, as one JSON, in order.
 

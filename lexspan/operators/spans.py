@@ -6,13 +6,16 @@ passage takes the best supported label of the candidates over it; runs of equal
 
 from __future__ import annotations
 
+import math
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 #: Ordinals that share a range where runs are numbered.
 RANGE = 50_000
 #: Nothing voted here.
@@ -32,12 +35,18 @@ def valid_candidates(candidates: DataFrame, windows: DataFrame, key: str = "sour
 
 
 def votes(candidates: DataFrame, key: str = "source_id") -> DataFrame:
-    """(key, ordinal, kind, speaker, score, votes, mean, heading, first_seq) of each label over each passage.
+    """(key, ordinal, kind, speaker, score, votes, mean, heading, first_seq) of each label over each passage; with the candidates'
+    rationale (the longest) and evidence ids (each once; a passage is under few candidates) where they have them.
 
     The interval join is an equi-join after the intervals are spread into ordinals: rows grow with the
     candidates' lengths, which windows bound, and a hot document is spread by ordinal.
     """
     spread = candidates.select("*", F.explode(F.sequence("start_ordinal", "end_ordinal")).alias("ordinal"))
+    said = []
+    if "rationale" in candidates.columns:  # the longest, the first of equals
+        said.append(F.max_by("rationale", F.struct(F.length("rationale"), -F.col("window_idx"), -F.col("seq"))).alias("rationale"))
+    if "evidence_ids" in candidates.columns:
+        said.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_ids")))).alias("evidence_ids"))
     inner = F.least(F.col("ordinal") - F.col("start_ordinal"), F.col("end_ordinal") - F.col("ordinal")) >= INNER_DISTANCE
     worth = F.col("confidence") + F.when(inner, F.lit(INNER_BONUS)).otherwise(F.lit(0.0))
     return spread.groupBy(key, "ordinal", "kind", "speaker").agg(
@@ -45,6 +54,7 @@ def votes(candidates: DataFrame, key: str = "source_id") -> DataFrame:
         F.count("*").alias("votes"),
         F.min_by("heading", F.struct("window_idx", "seq")).alias("heading"),
         F.min(F.struct("window_idx", "seq")).alias("first_seq"),
+        *said,
     )
 
 
@@ -131,7 +141,7 @@ def merge_runs(runs: list[dict], speakers: dict[frozenset, str] | None = None, u
             out.append(dict(run))
             continue
         n, m = last["passages"], run["passages"]
-        last.update(speaker=voice, end_ordinal=run["end_ordinal"], passages=n + m, confidence=round((last["confidence"] * n + run["confidence"] * m) / (n + m), 4), heading=last["heading"] or run["heading"])
+        last.update(speaker=voice, end_ordinal=run["end_ordinal"], passages=n + m, confidence=math.floor((last["confidence"] * n + run["confidence"] * m) / (n + m) * 10_000 + 0.5) / 10_000, heading=last["heading"] or run["heading"])
     return out
 
 
@@ -160,24 +170,51 @@ def _smooth_stream(longest: int = 3):
         before[:] = [label]
         return [*out, label]
 
-    return feed, lambda: settle(None)
+    return feed, settle
+
+
+def _chunked(rows: DataFrame, key: str, order: str, width: int, sync: Callable[[Window], Column], label: Column | None = None) -> DataFrame:
+    """``rows`` with ``__chunk``: documents are cut where a fold's state is known, about every ``width`` places.
+
+    ``sync`` marks such places, given a window over a document's range. A range's rows before its first mark belong to the chunk
+    that goes on from the ranges before; one summary row a range tells which that is. With a ``label``, ``__after`` is that
+    of the place behind the chunk.
+    """
+    cut = rows.withColumn("__range", F.floor(F.col(order) / width))
+    marked = cut.withColumn("__sync", sync(Window.partitionBy(key, "__range").orderBy(order)))
+    at = F.when(F.col("__sync"), F.col(order))
+    firsts = [F.min(at).alias("__from"), F.min_by(label if label is not None else F.lit(None), at).alias("__label")]
+    w = Window.partitionBy(key).orderBy("__range")
+    has = F.col("__from").isNotNull()
+    ranges = marked.groupBy(key, "__range").agg(*firsts).select(
+        key, "__range", "__from", F.coalesce(F.last(F.when(has, F.col("__range")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("__before"),
+        F.col("__label").alias("__own"), F.first("__label", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
+    )
+    joined = marked.join(ranges, [key, "__range"])
+    inside = has & (F.col(order) >= F.col("__from"))
+    chunked = joined.withColumn("__chunk", F.when(inside, F.col("__range")).otherwise(F.col("__before")))
+    chunked = chunked.withColumn("__after", F.when(inside | ~has, F.col("__next")).otherwise(F.col("__own")))
+    return chunked.drop("__range", "__sync", "__from", "__before", "__own", "__next")
 
 
 def _streamed(rows: DataFrame, key: str, order: str, schema: str, fold) -> DataFrame:
-    """Documents in order, each in one task, passing through as a stream: what a fold holds is all that is held."""
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(fold, schema)
+    """Chunks in order, each in one task, passing through as a stream: what a fold holds is all that is held."""
+    return rows.repartition(key, "__chunk").sortWithinPartitions(key, "__chunk", order).mapInArrow(fold, schema)
 
 
-def smoothed(assigned: DataFrame, passages: DataFrame, separator: str = r"^[\s_\-–—=·•.*]{3,}$", key: str = "source_id") -> DataFrame:
-    """The assignment with short interruptions absorbed. Documents stream by their labels alone, not their texts."""
+def smoothed(assigned: DataFrame, passages: DataFrame, separator: str = r"^[\s_\-–—=·•.*]{3,}$", key: str = "source_id", width: int = RANGE) -> DataFrame:
+    """The assignment with short interruptions absorbed. Documents stream by their labels alone, not their texts, in chunks
+    that begin at places which can't be absorbed: these keep their label whatever stands before."""
     marks = passages.select(key, "ordinal", F.regexp_like("text", F.lit(separator)).alias("__separator"))
     rows = assigned.join(marks, [key, "ordinal"], "left").select(*assigned.columns, (~F.col("voted") | F.coalesce("__separator", F.lit(False))).alias("absorbable"))
+    rows = _chunked(rows, key, "ordinal", width, lambda w: ~F.col("absorbable"), F.struct("kind", "speaker"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in assigned.schema) + ", changed boolean"
     columns = assigned.columns
     kind_at, speaker_at, key_at = columns.index("kind"), columns.index("speaker"), columns.index(key)
+    rows = rows.select(*columns, "absorbable", "__chunk", F.col("__after.kind").alias("__kind"), F.col("__after.speaker").alias("__speaker"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feed = finish = current = arrow = None
+        feed = finish = current = after = arrow = None
         waiting: deque[list] = deque()
 
         def emit(labels: list[tuple], out: list[list]) -> None:
@@ -192,59 +229,62 @@ def smoothed(assigned: DataFrame, passages: DataFrame, separator: str = r"^[\s_\
 
         for batch in batches:
             arrow, out = batch.schema, []
-            for *row, absorbable in zip(*(c.to_pylist() for c in batch.columns)):
-                if current != [row[key_at]]:
+            for *row, absorbable, chunk, kind, speaker in zip(*(c.to_pylist() for c in batch.columns)):
+                if current != [row[key_at], chunk]:
                     if finish:
-                        emit(finish(), out)
-                    (feed, finish), current = _smooth_stream(), [row[key_at]]
+                        emit(finish(after), out)
+                    (feed, finish), current = _smooth_stream(), [row[key_at], chunk]
+                    after = (kind, speaker) if kind is not None else None
                 waiting.append(row)
                 emit(feed((row[kind_at], row[speaker_at]), absorbable), out)
             if out:
                 yield batch_of(out)
         if finish and waiting:
-            emit(finish(), last := [])
+            emit(finish(after), last := [])
             yield batch_of(last)
 
     return _streamed(rows, key, "ordinal", schema, fold)
 
 
-def merged(spans: DataFrame, key: str = "source_id", pairs: dict[frozenset, str] | None = None) -> DataFrame:
-    """Spans of a document merged from left to right and numbered again; one span is held at a time."""
-    names = [key, "span_no", "kind", "speaker", "start_ordinal", "end_ordinal", "confidence", "heading", "passages"]
+def merged(spans: DataFrame, key: str = "source_id", pairs: dict[frozenset, str] | None = None, width: int = RANGE) -> DataFrame:
+    """Spans of a document merged from left to right and numbered again; one span is held at a time.
+
+    Spans of different kinds never merge, so documents are cut where the kind changes.
+    """
+    names = [key, "kind", "speaker", "start_ordinal", "end_ordinal", "confidence", "heading", "passages"]
     kind = spans.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, span_id string, kind string, speaker string, start_ordinal int, end_ordinal int, confidence double, heading string, passages bigint"
+    schema = f"{key} {kind}, kind string, speaker string, start_ordinal int, end_ordinal int, confidence double, heading string, passages bigint"
     rows = spans.select(key, "span_no", "kind", "speaker", F.col("start_ordinal").cast("int"), F.col("end_ordinal").cast("int"), "confidence", "heading", "passages")
+    rows = _chunked(rows, key, "span_no", width, lambda w: F.coalesce(F.col("kind") != F.lag("kind").over(w), F.lit(False)))
+    rows = rows.select(*names, "span_no", "__chunk")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
-        number, types = 0, None
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[key, "span_id", *names[2:]])
+        at = types = None
 
-        def done() -> tuple:
-            return (held[key], f"S{number:05d}", *(held[n] for n in names[2:]))
+        def batch_of(out: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([run[n] for run in out], t) for n, t in zip(names, types)], names=names)
 
         for batch in batches:
-            types = [batch.schema.field(key).type, pa.string(), *(batch.schema.field(n).type for n in names[2:])]
+            types = [batch.schema.field(n).type for n in names]
             out = []
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
+            for *values, _, chunk in zip(*(c.to_pylist() for c in batch.columns)):
                 run = dict(zip(names, values))
-                if held is not None and held[key] == run[key]:
+                if held is not None and at == (run[key], chunk):
                     both = merge_runs([held, run], pairs)
                     if len(both) == 1:
                         held = both[0]
                         continue
                 if held is not None:
-                    out.append(done())
-                number = number + 1 if held is not None and held[key] == run[key] else 1
-                held = run
+                    out.append(held)
+                held, at = run, (run[key], chunk)
             if out:
                 yield batch_of(out)
         if held is not None:
-            yield batch_of([done()])
+            yield batch_of([held])
 
-    return _streamed(rows, key, "span_no", schema, fold)
+    found = numbered(_streamed(rows, key, "span_no", schema, fold), key, "start_ordinal", "__no", "__n")
+    return found.select(key, F.format_string("S%05d", "__no").alias("span_id"), *names[1:])
 
 
 def covers(spans: DataFrame, passages: DataFrame, key: str = "source_id") -> DataFrame:
@@ -256,6 +296,28 @@ def covers(spans: DataFrame, passages: DataFrame, key: str = "source_id") -> Dat
     )
 
 
+def evidence_of_spans(spans: DataFrame, voted: DataFrame, most: int = 16, key: str = "source_id") -> DataFrame:
+    """(key, span_no, rationale, evidence_ids) of each span from the votes for its label within it.
+
+    The rationale is the longest; ids come in order of their passages, each once, up to ``most``: a span keeps the first of
+    each of its passages' sets only as far as it may need them.
+    """
+    inside = spans.select(key, "span_no", "kind", "speaker", F.explode(F.sequence("start_ordinal", "end_ordinal")).alias("ordinal"))
+    met = inside.join(voted.select(key, "ordinal", "kind", "speaker", "rationale", "evidence_ids"), [key, "ordinal", "kind", "speaker"])
+    ids = met.select(key, "span_no", F.explode("evidence_ids").alias("id")).groupBy(key, "span_no", "id").count()
+    first = ids.withColumn("__n", F.row_number().over(Window.partitionBy(key, "span_no").orderBy("id"))).where(F.col("__n") <= most)
+    listed = first.groupBy(key, "span_no").agg(F.array_sort(F.collect_list("id")).alias("evidence_ids"))
+    longest = met.groupBy(key, "span_no").agg(F.max_by("rationale", F.struct(F.length("rationale"), -F.col("ordinal"), F.col("rationale"))).alias("rationale"))
+    return longest.join(listed, [key, "span_no"], "left")
+
+
+def relabelled_notes(assigned: DataFrame, notes: DataFrame, kind: str, floor: float = 0.97, of_kinds: Sequence[str] = (), key: str = "source_id") -> DataFrame:
+    """The assignment with referenced notes (see :func:`referenced_notes`) of certain kinds relabelled, their confidence raised to a floor."""
+    joined = assigned.join(notes.select(key, "ordinal", F.lit(True).alias("__note")).distinct(), [key, "ordinal"], "left")
+    turned = F.coalesce("__note", F.lit(False)) & (F.col("kind").isin(*of_kinds) if of_kinds else F.lit(True))
+    return joined.withColumns({"relabelled": turned, "kind": F.when(turned, F.lit(kind)).otherwise(F.col("kind")), "mean": F.when(turned, F.greatest(F.lit(floor), "mean")).otherwise(F.col("mean"))}).drop("__note")
+
+
 def referenced_notes(passages: DataFrame, note: str, reference: str, back: int = 44, key: str = "source_id") -> DataFrame:
     """(key, ordinal, marker, referenced_from): notes whose marker stands in one of the ``back`` passages before.
 

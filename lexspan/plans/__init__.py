@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detail_queries, evidence_queries, model_queries, relational_queries, report_queries, segment_queries, source_queries, span_queries, text_queries
+from . import detail_queries, evidence_queries, judgement_queries, model_queries, relational_queries, report_queries, segment_queries, source_queries, span_queries, text_queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -44,7 +44,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FOUND} SELECT source_id, field_path, anchor_id, CAST(requested AS INT) AS requested, found, unbroken FROM found")
 def evidence_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.contiguous(anchors(spark, sf_dir), passages(spark, sf_dir)).drop("text")
+    return E.contiguous(anchors(spark, sf_dir), table(spark, sf_dir, "passages").select("source_id", "id", "ordinal", F.xxhash64("text").alias("copy")).distinct())
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,18 +165,11 @@ def facet_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT url, array_to_string(list_filter(tags, lambda x, i: list_position(list_transform(tags, lambda y: lower(y)), lower(x)) = i)[1:5], '|') AS tags
-FROM (SELECT url, list_filter(list_transform(string_split_regex(title, '[ ,]+'), lambda x: trim(x)), lambda x: x <> '') AS tags FROM (SELECT DISTINCT url, title FROM diagnostics WHERE title IS NOT NULL AND NOT regexp_matches(title, 'ς[ ,]|ς$|Σ|İ|ı')))
+SELECT url, array_to_string(list_filter(tags, lambda x, i: list_position(list_transform(tags, lambda y: lower(translate(y, 'ΣςİIı', 'σσiii'))), lower(translate(x, 'ΣςİIı', 'σσiii'))) = i)[1:5], '|') AS tags
+FROM (SELECT url, list_filter(list_transform(string_split_regex(title, '[ ,]+'), lambda x: trim(x)), lambda x: x <> '') AS tags FROM (SELECT DISTINCT url, title FROM diagnostics WHERE title IS NOT NULL))
 """)
 def facet_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles without letters that engines fold differently (final sigma, dotted i): the rule there is Spark's."""
-    d = table(spark, sf_dir, "diagnostics").select("url", "title").distinct().where("title is not null").where(~F.regexp_like("title", F.lit("ς[ ,]|ς$|Σ|İ|ı")))
-    return d.select("url", F.array_join(facets.facet([F.split("title", "[ ,]+")], 5), "|").alias("tags"))
-
-
-@query()
-def facet_all_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every title, those with final sigma and dotted i too; no SQL, since engines fold these differently. Tested against a plain fold."""
+    """The first five words of every title, once each whatever their case."""
     d = table(spark, sf_dir, "diagnostics").select("url", "title").distinct().where("title is not null")
     return d.select("url", F.array_join(facets.facet([F.split("title", "[ ,]+")], 5), "|").alias("tags"))
 

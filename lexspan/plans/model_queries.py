@@ -10,21 +10,6 @@ from .registry import query, table
 from .span_queries import _ASSIGNED, _CANDIDATES, _VOTES, assigned
 
 
-def head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "passages").select("source_id", "ordinal", "text").distinct().where("text is not null and ordinal <= 5")
-    return model.payloads(p, "source_id", "ordinal", "text")
-
-
-@query(r"""
-SELECT source_id, CAST(len(list_filter(string_split_regex(t, '[\s\x0B\x{001C}-\x{001F}\x{0085}\p{Z}]+'), lambda x: x <> '')) AS INT) AS words, CAST(NULL AS VARCHAR) AS error
-FROM (SELECT source_id, string_agg(text, chr(10) ORDER BY ordinal) AS t FROM (SELECT DISTINCT source_id, ordinal, text FROM passages WHERE text IS NOT NULL AND ordinal <= 5) GROUP BY source_id)
-""")
-def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five passages of each document, put to a client that counts words."""
-    answers = model.structured(model.ask(head(spark, sf_dir), "source_id", "payload", model.RuleClient()), "words int, longest string")
-    return answers.select("source_id", F.col("parsed.words").alias("words"), "error")
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "passages").select("source_id", "ordinal", "text").distinct().where("text is not null")
 
@@ -60,9 +45,3 @@ def model_whole_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded answers to the payloads of all passages."""
     rows = model.payloads(texts(spark, sf_dir), "source_id", "ordinal", "text")
     return model.recorded(rows, "source_id", model.ask(rows, "source_id", "payload", model.RuleClient())).select("source_id", "error")
-
-
-@query("SELECT source_id, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT source_id FROM passages WHERE text IS NOT NULL AND ordinal <= 5)")
-def model_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = head(spark, sf_dir)
-    return model.recorded(rows, "source_id", model.ask(rows, "source_id", "payload", model.RuleClient())).select("source_id", "error")

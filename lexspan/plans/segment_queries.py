@@ -51,19 +51,17 @@ def segment_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT DISTINCT source_id, ordinal, text FROM passages WHERE text IS NOT NULL), j AS (SELECT DISTINCT source_id, clean_text FROM judgments)
-SELECT source_id, CAST(i AS INT) AS ordinal, CAST(strpos(clean_text, b[i]) - 1 AS INT) AS first_found FROM (
-  SELECT source_id, clean_text, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT source_id, clean_text, list_filter(list_transform(string_split_regex(clean_text, '\n[ \t]*\n\s*'), lambda x: regexp_replace(x, '^[\s\x0B\x{0085}\p{Z}]+|[\s\x0B\x{0085}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS b FROM j))
-WHERE i = 1
+WITH RECURSIVE j AS (SELECT DISTINCT source_id, clean_text FROM judgments),
+  b AS (SELECT source_id, clean_text, list_filter(list_transform(string_split_regex(clean_text, '\n[ \t]*\n\s*'), lambda x: regexp_replace(x, '^[\s\x0B\x{0085}\p{Z}]+|[\s\x0B\x{0085}\p{Z}]+$', '', 'g')), lambda x: x <> '') AS parts FROM j),
+  places AS (SELECT source_id, 0 AS i, 1 AS start, 1 AS cursor FROM b
+    UNION ALL
+    SELECT source_id, i, place, place + n FROM (
+      SELECT a.source_id, a.i + 1 AS i, length(b.parts[a.i + 1]) AS n, CASE WHEN strpos(substr(b.clean_text, a.cursor), b.parts[a.i + 1]) > 0 THEN a.cursor + strpos(substr(b.clean_text, a.cursor), b.parts[a.i + 1]) - 1 ELSE a.cursor END AS place
+      FROM places a JOIN b ON b.source_id = a.source_id WHERE a.i < len(b.parts)))
+SELECT source_id, CAST(i AS INT) AS ordinal, CAST(start - 1 AS INT) AS start_offset, CAST(cursor - 1 AS INT) AS end_offset FROM places WHERE i > 0
 """)
-def segment_first_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first block's place only, as its SQL; ``segment_offsets`` has all."""
-    return segment_offsets(spark, sf_dir).where("ordinal = 1").select("source_id", "ordinal", F.col("start_offset").alias("first_found"))
-
-
-@query()
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every block's place, sought from where the last one ended; tested against a plain loop."""
+    """Every block's place, sought from where the last one ended."""
     parts = judgments(spark, sf_dir).select("source_id", "clean_text", F.filter(F.transform(F.split("clean_text", S.BLANK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "").alias("parts"))
     return S.located(parts, "source_id", "clean_text", "parts").select("source_id", "ordinal", "start_offset", "end_offset")
 

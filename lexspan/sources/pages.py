@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import decode_entities, squeeze, strip_tags
 
 #: Other names of charsets, by pattern, in the order in which they are tried.
-CHARSETS = (("^utf-?8$", "utf-8"), ("^(?:windows|cp|x-cp)-?1253$", "windows-1253"), ("^(?:iso-?8859-?7|greek8?|elot_?928)$", "iso-8859-7"), ("^(?:iso-?8859-?1|latin-?1|us-ascii|ascii|windows-?1252|cp-?1252)$", "windows-1252"))
+CHARSETS = (("^utf-?8$", "utf-8"), ("^(?:windows|cp|x-cp)-?1253$", "windows-1253"), ("^(?:iso-?8859-?7|greek8?|elot-?928)$", "iso-8859-7"), ("^(?:iso-?8859-?1|latin-?1|us-ascii|ascii|windows-?1252|cp-?1252)$", "windows-1252"))
 #: Bytes of a page in which a charset may be declared.
 DECLARED_WITHIN = 16_000
 
@@ -44,9 +44,10 @@ def allowed_host(url: Column, hosts: Sequence[str]) -> Column:
     return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("HOST")).isin(*hosts), F.lit(False))
 
 
-def canonical_charset(label: Column) -> Column:
-    low = F.lower(F.trim(F.regexp_replace(label, "[\"']", "")))
-    out = F.when(low != "", low)
+def canonical_charset(label: Column, default: str = "utf-8") -> Column:
+    """One name for each charset: quotes go, underlines and spaces are hyphens, aliases get their usual name; the default for none."""
+    low = F.lower(F.regexp_replace(F.trim(F.regexp_replace(label, "[\"']", "")), "[_\\s]", "-"))
+    out = F.when(low != "", low).otherwise(F.lit(default))
     for pattern, name in reversed(CHARSETS):
         out = F.when(F.regexp_like(low, F.lit(pattern)), F.lit(name)).otherwise(out)
     return out

@@ -50,7 +50,7 @@ def test_smoothing_sees_earlier_changes():
 def test_smoothing_stream_equals_the_fold(places):
     labels, absorbable = [(x, "") for x, _ in places], [y for _, y in places]
     feed, finish = spans._smooth_stream()
-    out = [x for label, can in zip(labels, absorbable) for x in feed(label, can)] + finish()
+    out = [x for label, can in zip(labels, absorbable) for x in feed(label, can)] + finish(None)
     assert out == spans.smooth_labels(labels, absorbable)
 
 
@@ -202,3 +202,51 @@ def test_timeline(spark):
     assert states == {"j": "cancelled", "k": "unknown"}
     log = timeline.progress_log(df, "job", "at", ["kind"], [(0, "a", 5), (60, "b", 3)]).where("job = 'j'").orderBy("at").collect()
     assert [(r.stage, r.progress) for r in log] == [("a", 5), ("a", 5), ("b", 5)]
+
+
+@pytest.mark.parametrize("width", [3, 5, 1000])
+def test_folds_over_chunks_equal_the_plain_folds(spark, width):
+    """Documents cut into chunks, runs without a place to cut and documents of one kind among them."""
+    rnd = random.Random(width)
+    rows, marks = [], []
+    for key in ["d%d" % i for i in range(12)]:
+        for i in range(1, rnd.randrange(2, 50)):
+            soft = key == "d1" or key != "d2" and rnd.random() < 0.5
+            rows.append((key, i, rnd.choice("ab") if key != "d3" else "a", rnd.choice(["x", "y", "unknown"]), rnd.choice([0.5, 0.58, 0.9]), not soft, "h" if i % 7 == 0 else ""))
+            marks.append((key, i, "text"))
+    assigned = spark.createDataFrame(rows, "source_id string, ordinal int, kind string, speaker string, mean double, voted boolean, heading string")
+    smooth = spans.smoothed(assigned, spark.createDataFrame(marks, "source_id string, ordinal int, text string"), width=width)
+    got = {(r.source_id, r.ordinal): (r.kind, r.speaker) for r in smooth.collect()}
+    pairs, found = {frozenset("xy"): "both"}, []
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        labels = spans.smooth_labels([(r[2], r[3]) for r in mine], [not r[5] for r in mine])
+        assert [got[key, r[1]] for r in mine] == labels
+    runs = spans.islands(smooth.drop("changed"), width=width)
+    plain = {}
+    for r in sorted(runs.collect(), key=lambda r: (r.source_id, r.span_no)):
+        plain.setdefault(r.source_id, []).append({k: r[k] for k in ("kind", "speaker", "start_ordinal", "end_ordinal", "confidence", "heading", "passages")})
+    want = {(key, f"S{i:05d}", m["kind"], m["speaker"], m["start_ordinal"], m["end_ordinal"], m["confidence"], m["heading"]) for key, spans_of in plain.items() for i, m in enumerate(spans.merge_runs(spans_of, pairs), 1)}
+    found = {(r.source_id, r.span_id, r.kind, r.speaker, r.start_ordinal, r.end_ordinal, r.confidence, r.heading) for r in spans.merged(runs, pairs=pairs, width=width).collect()}
+    assert found == want
+
+
+def test_entities_and_tags_in_one_pass(spark):
+    from lexspan.functions import text as T
+
+    rows = ["&#38;amp; &lt;b&gt; &euro;5 &#x3AE; &unknown; & &amp;lt; &#0; a&b;c &NBSP;x", "<p>a</p><script>x<p>y</p></script>b<li>c<br>d", "<SCRIPT src='x'>k</SCRIPT >t<script>open <p>z</p>", "<>a < b > c<i>", "<header>h</header>x", "", None]
+    want = ["&amp; <b> €5 ή &unknown; & &lt; &#0; a&b;c  x", "a\n\nb• c\nd", "topen z", "<>a  c", "h\n\nx", "", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    assert [r.h for r in df.select("i", T.html_to_text("t").alias("h")).orderBy("i").collect()] == want
+
+
+def test_html_without_ends_takes_linear_time(spark):
+    import time
+
+    from lexspan.functions import text as T
+
+    for unit in ("<script ", "<style>", "<a ", "&", "&#38;", "<", ">"):
+        df = spark.createDataFrame([(unit * (300_000 // len(unit)),)], "t string")
+        began = time.perf_counter()
+        df.select(F.length(T.html_to_text("t"))).collect()
+        assert time.perf_counter() - began < 20

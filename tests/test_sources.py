@@ -28,7 +28,7 @@ def test_hosts_and_charsets(spark):
     df = spark.createDataFrame([("https://a.example/x",), ("http://a.example/x",), ("https://evil.example/a.example",), ("not a url",), (None,)], "u string")
     assert [r[0] for r in df.select(pages.allowed_host(F.col("u"), ["a.example"])).collect()] == [True, False, False, False, False]
     c = spark.createDataFrame([("WINDOWS-1253", ""), (None, '<meta charset="greek">'), (" ", "x"), ("latin1", "")], "h string, t string")
-    assert [r[0] for r in c.select(pages.declared_charset(F.col("h"), F.col("t"))).collect()] == ["windows-1253", "iso-8859-7", None, "windows-1252"]
+    assert [r[0] for r in c.select(pages.declared_charset(F.col("h"), F.col("t"))).collect()] == ["windows-1253", "iso-8859-7", "utf-8", "windows-1252"]
 
 
 def test_links(spark):
