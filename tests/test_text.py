@@ -32,7 +32,7 @@ def test_entities(spark, text):
 
 def test_html_to_text(spark):
     page = "<html><script>var a='</p>';</script><p>One&nbsp;&amp; two</p><ul><li>x<li>y</ul><br>z"
-    assert one(spark, page, T.html_to_text("t")) == "One & two\n\n• x• y\n\n\nz"
+    assert one(spark, page, T.html_to_text("t")) == "One & two\n\n• x• y\nz"
 
 
 def test_numbers_and_ratios(spark):
