@@ -22,7 +22,6 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .arrowmap import arrow_map
 
@@ -152,9 +151,3 @@ def decode_ids(encoded: DataFrame, tokenizer: str = "byte_bpe_50k", id_col: str
         return lambda cols: (cols[0], [bpe.decode(x or ()) for x in cols[1]])
 
     return arrow_map(encoded, [id_col, "ids"], f"{id_col} {kind}, text string", factory)
-
-
-def round_trip_failures(documents: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
-    """Ids of rows whose decoded ids differ from the text (null counting as empty): always none."""
-    decoded = decode_ids(encode_texts(documents, tokenizer), tokenizer).withColumnRenamed("text", "decoded")
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(decoded, "doc_id").where("t <> decoded").select("doc_id")
