@@ -82,8 +82,9 @@ def strip_tags(c: Column | str) -> Column:
     return bound(F.split(col(c), ">"), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), kept), ""), F.element_at(parts, -1)))
 
 
-def _without_raw(c: Column) -> Column:
+def without_raw(c: Column | str) -> Column:
     """Scripts and styles out. The text is cut at their beginnings; each part loses what it holds up to its end, if it has one."""
+    c = col(c)
     for name in ("script", "style"):
         after = _after_end(name)
         c = bound(F.split(c, rf"(?i)<{name}(?=[\s>/])"), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(_tail(parts), after), "")))  # noqa: B023
@@ -99,7 +100,7 @@ def _after_end(name: str) -> Callable[[Column], Column]:
 
 def html_to_text(c: Column | str) -> Column:
     """Visible text of a page: scripts and styles go first, block ends become empty lines, list items get bullets."""
-    c = _without_raw(col(c))
+    c = without_raw(c)
     c = F.regexp_replace(c, rf"(?i)</(?:{BLOCK_TAGS})\s*>", "\n\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)<li\b[^>]*+>", "• ")
     return normalize_newlines(decode_entities(strip_tags(c)))

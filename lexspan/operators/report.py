@@ -46,5 +46,14 @@ def markdown_table(rows: DataFrame, order: str, columns: Sequence[str], longest:
     return head.unionByName(body)
 
 
+def numbered_lines(rows: DataFrame, order: Sequence[str], prefix: int = 40) -> DataFrame:
+    """``rows`` with ``position`` by several columns, nulls last, the first of them a string: rows are numbered within ranges of its beginning."""
+    cut = rows.withColumn("__range", F.coalesce(F.substring(order[0], 1, prefix), F.lit("\U0010ffff")))
+    w = Window.orderBy("__range")
+    before = cut.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+    return cut.join(before, "__range").withColumn("position", F.col("__before") + inside).drop("__range", "__before")
+
+
 def severity_counts(issues: DataFrame, key: str, severities: Sequence[str]) -> DataFrame:
     return issues.groupBy(key).agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in severities], F.bool_or(F.col("severity") == severities[0]).alias(f"any_{severities[0]}"))

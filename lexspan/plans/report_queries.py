@@ -29,14 +29,13 @@ def report_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT * FROM (SELECT -2 AS position, '| title | n_passages | longest |' AS line UNION ALL SELECT -1, '|---|---|---|' UNION ALL
   SELECT position, '| ' || replace(substr(coalesce(title, ''), 1, 60), '|', '/') || ' | ' || n_passages || ' | ' || coalesce(CAST(longest AS VARCHAR), '') || ' |' FROM (
-    SELECT title, n_passages, length.maximum AS longest, row_number() OVER (ORDER BY url, generated_at, n_at_max, html_chars, length.maximum) AS position FROM (SELECT DISTINCT * FROM diagnostics) ORDER BY position LIMIT 50))
+    SELECT title, n_passages, length.maximum AS longest, row_number() OVER (ORDER BY url, generated_at, n_at_max, html_chars, length.maximum) AS position FROM (SELECT DISTINCT * FROM diagnostics)))
 """)
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report of fifty rows, as a report is; the table itself may be of any length."""
-    d = table(spark, sf_dir, "diagnostics").distinct().select("title", "n_passages", F.col("length.maximum").alias("longest"), F.struct("url", "generated_at", "n_at_max", "html_chars", F.col("length.maximum").alias("m")).alias("__o"))
-    order = [F.col("__o.url"), F.col("__o.generated_at"), F.col("__o.n_at_max").asc_nulls_last(), F.col("__o.html_chars").asc_nulls_last(), F.col("__o.m").asc_nulls_last()]
-    top = d.orderBy(*order).limit(50).agg(F.collect_list(F.struct("title", "n_passages", "longest")).alias("r")).select(F.posexplode("r").alias("i", "r")).select((F.col("i") + 1).alias("position"), "r.*")
-    return report.markdown_table(top, "position", ("title", "n_passages", "longest"))
+    """A line for each diagnosed document."""
+    d = table(spark, sf_dir, "diagnostics").distinct().select("title", "n_passages", F.col("length.maximum").alias("longest"), "url", "generated_at", "n_at_max", "html_chars")
+    placed = report.numbered_lines(d, ("url", "generated_at", "n_at_max", "html_chars", "longest"))
+    return report.markdown_table(placed, "position", ("title", "n_passages", "longest"))
 
 
 @query(f"WITH {_JUDGED}, {_CLAIMS}, {_ISSUES}, {_SCORES} SELECT CAST(final // 10 AS BIGINT) AS decile, count(*) AS documents, CAST(sum(penalty) AS BIGINT) AS penalties, count(*) FILTER (final >= 40) AS passed FROM final GROUP BY 1")
@@ -45,7 +44,11 @@ def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("decile").agg(F.count("*").alias("documents"), F.sum("penalty").alias("penalties"), F.count_if(F.col("final") >= 40).alias("passed"))
 
 
-@query()
+@query(f"""WITH {_JUDGED}, {_CLAIMS}, {_ISSUES},
+  first AS (SELECT source_id, title FROM (SELECT source_id, title, row_number() OVER (PARTITION BY source_id ORDER BY retrieved_at NULLS FIRST, title NULLS FIRST) AS k FROM judgments) WHERE k = 1),
+  size AS (SELECT source_id, length(max(clean_text)) AS n FROM judgments GROUP BY source_id),
+  per AS (SELECT source_id, '[' || string_agg('{{"code":' || to_json(code) || ',"severity":' || to_json(severity) || ',"field_path":' || to_json(field_path) || '}}', ',' ORDER BY code, severity, field_path) || ']' AS issues FROM issues GROUP BY source_id)
+SELECT f.source_id, '{{' || concat_ws(',', '"title":' || to_json(title), '"text":"[omitted: ' || n || ' characters]"', '"issues":' || issues) || '}}' AS record FROM first f JOIN size s ON s.source_id = f.source_id LEFT JOIN per p ON p.source_id = f.source_id""")
 def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON record a document, long texts left out, its issues inside."""
     per = issues(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "field_path"))).alias("issues"))

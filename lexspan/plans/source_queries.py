@@ -51,9 +51,31 @@ def source_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetched(spark, sf_dir, "page_id", "charset", "html").select("page_id", P.declared_charset(F.col("charset"), F.col("html")).alias("charset"))
 
 
-@query()
+def _undefined(charset: str) -> str:
+    """The bytes, as SQL, that a charset gives no character."""
+    out = []
+    for b in range(0x80, 0x100):
+        try:
+            bytes([b]).decode(charset)
+        except UnicodeDecodeError:
+            out.append(f"'{b:02X}'")
+    return ", ".join(out)
+
+
+_C0 = ", ".join(f"'{b:02X}'" for b in (*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F))
+_C1 = ", ".join(f"'{b:02X}'" for b in range(0x80, 0xA0))
+
+
+@query(f"""
+WITH b AS (SELECT DISTINCT page_id, html, list_transform(range(1, CAST(octet_length(encode(html)) + 1 AS BIGINT)), lambda i: substr(hex(encode(html)), 2 * i - 1, 2)) AS bytes FROM fetched_pages WHERE html IS NOT NULL),
+  p AS (SELECT page_id, length(html) AS n, len(bytes) AS m,
+      10 * length(regexp_replace(html, '[^\\x{{FFFD}}]', '', 'g')) + length(regexp_replace(html, '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g')) AS u,
+      10 * len(list_filter(bytes, lambda x: x IN ({_undefined("windows-1253")}))) + len(list_filter(bytes, lambda x: x IN ({_C0}))) AS w,
+      10 * len(list_filter(bytes, lambda x: x IN ({_undefined("iso-8859-7")}))) + len(list_filter(bytes, lambda x: x IN ({_C0}, {_C1}))) AS g FROM b)
+SELECT page_id, CASE WHEN u <= least(w, g) THEN 'utf-8' WHEN w <= g THEN 'windows-1253' ELSE 'iso-8859-7' END AS charset, CAST(least(u, w, g) AS INT) AS penalty, CASE WHEN u <= least(w, g) THEN n ELSE m END AS n_chars FROM p
+""")
 def source_best_decodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's bytes (in UTF-8) against three charsets; tested on bytes of each charset."""
+    """Every page's bytes (in UTF-8) against three charsets."""
     raw = fetched(spark, sf_dir, "page_id", "html").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return P.best_decoding(raw, ["page_id"], "content", ("utf-8", "windows-1253", "iso-8859-7")).select("page_id", "charset", "penalty", F.length("text").alias("n_chars"))
 

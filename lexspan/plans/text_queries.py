@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.unicode import ascii_fold, nfc
+from ..operators.evidence import evidence_form
 from .registry import query, table
 
 _PASSAGES = "(SELECT DISTINCT source_id, ordinal, text FROM passages)"
@@ -45,14 +46,27 @@ SELECT page_id, length(t) AS n_chars, len(string_split(t, chr(10))) AS n_lines F
 """)
 def text_without_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "fetched_pages").select("page_id", "html")
-    t = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<script\b.*?</script\s*>", ""), r"(?is)<style\b.*?</style\s*>", "")
-    t = F.regexp_replace(F.regexp_replace(T.strip_tags(t), "[ \t]+\n", "\n"), "\n{2,}", "\n")
+    t = F.regexp_replace(F.regexp_replace(T.strip_tags(T.without_raw("html")), "[ \t]+\n", "\n"), "\n{2,}", "\n")
     return pages.select("page_id", F.length(t).cast("bigint").alias("n_chars"), F.size(F.split(t, "\n")).cast("bigint").alias("n_lines")).distinct()
 
 
-@query()
+#: One pass over the parts between ampersands, as the operator does it.
+_ENTITY = "CASE lower(m) " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in {k: v.replace("'", "''") for k, v in T.ENTITIES.items()}.items()) + " ELSE CASE WHEN code > 0 AND code < 1114112 AND NOT code BETWEEN 55296 AND 57343 THEN chr(code) END END"
+
+
+@query(rf"""
+WITH raw AS (SELECT DISTINCT page_id, html FROM fetched_pages),
+  cut AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[\s>/].*?</script\s*>', '', 'g'), '(?is)<style[\s>/].*?</style\s*>', '', 'g'),
+      '(?i)</(?:{T.BLOCK_TAGS})\s*>', chr(10) || chr(10), 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)<li\b[^>]*>', '• ', 'g'), '<[^>]+>', '', 'g') AS t FROM raw),
+  parts AS (SELECT page_id, string_split(t, '&') AS s FROM cut),
+  pieces AS (SELECT page_id, i, s[i] AS p, CASE WHEN i > 1 THEN regexp_extract(s[i], '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z]{{2,8}});', 1) ELSE '' END AS m FROM (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM parts)),
+  coded AS (SELECT *, CASE WHEN starts_with(lower(m), '#x') THEN CAST('0x' || substr(m, 3) AS INT) WHEN starts_with(m, '#') THEN CAST(substr(m, 2) AS INT) END AS code FROM pieces),
+  text AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN p ELSE coalesce(CASE WHEN m <> '' THEN {_ENTITY} END || substr(p, length(m) + 2), '&' || p) END, '' ORDER BY i) AS t FROM coded GROUP BY page_id)
+SELECT r.page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '\x00', '', 'g'), '[\x{{00A0}}\x{{2007}}\x{{202F}}]', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{4,}}', repeat(chr(10), 3), 'g'), '^[\s\x0B\x{{0085}}\p{{Z}}]+|[\s\x0B\x{{0085}}\p{{Z}}]+$', '', 'g') AS text
+FROM (SELECT DISTINCT page_id FROM raw) r LEFT JOIN text USING (page_id)
+""")
 def text_of_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain, entities included; checked against a brute-force version in the tests."""
+    """The whole chain, entities included."""
     pages = table(spark, sf_dir, "fetched_pages").select("page_id", "html").distinct()
     return pages.select("page_id", T.html_to_text("html").alias("text"))
 
@@ -118,7 +132,7 @@ FROM (SELECT DISTINCT source_id, field_path, anchor_id, quote FROM anchors)
 def text_evidence_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NFC, no-break spaces as spaces, white space squeezed: the form in which quotations are compared."""
     a = table(spark, sf_dir, "anchors").select("source_id", "field_path", "anchor_id", "quote").distinct()
-    return a.select("source_id", "field_path", "anchor_id", F.sha2(F.trim(F.regexp_replace(F.regexp_replace(nfc("quote"), T.NO_BREAK, " "), r"(?U)[\s\x{1C}-\x{1F}]+", " ")).cast("binary"), 256).alias("digest"))
+    return a.select("source_id", "field_path", "anchor_id", F.sha2(evidence_form("quote").cast("binary"), 256).alias("digest"))
 
 
 @query(r"""
