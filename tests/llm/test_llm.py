@@ -55,7 +55,7 @@ def test_tokens_of_dirty_rows(spark):
     assert got[0] == (1, []) and got[1] == (2, []) and got[2] == got[3] and got[4][0] is None
     assert tokenize.encode_texts(df.limit(0)).count() == 0
     back = tokenize.decode_ids(tokenize.encode_texts(df)).collect()
-    assert sorted((r.doc_id, r.text) for r in back) == sorted((r.doc_id, r.text or "") for r in df.collect())
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((r.doc_id, r.text or "") for r in df.collect()), key=str)
 
 
 # 5 ------------------------------------------------------------------------------------------------
