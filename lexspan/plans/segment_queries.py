@@ -45,7 +45,49 @@ def segment_merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("source_id", "ordinal", F.array_join(S.merge_fragments(S.rough_sentences(F.col("text")), ABBREVIATIONS), "\x1f").alias("merged"))
 
 
-@query()
+_TRIM = "'^[\\s\\x0B\\x{0085}\\p{Z}]+|[\\s\\x0B\\x{0085}\\p{Z}]+$'"
+_LAST = "regexp_extract(done, '[^\\x1f]*$')"
+
+
+def _cleaned(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: regexp_replace(x, {_TRIM}, '', 'g')), lambda x: x <> '')"
+
+
+def _more(opening: str, closing: str) -> str:
+    return f"length(regexp_replace({_LAST}, '[^{opening}]', '', 'g')) > length(regexp_replace({_LAST}, '[^{closing}]', '', 'g'))"
+
+
+#: The whole cut in SQL: blocks, sentences, the left fold of fragments, the cutting of long units, the cursor over places.
+_PASSAGES_SQL = f"""
+WITH RECURSIVE docs AS (SELECT DISTINCT source_id, clean_text FROM judgments WHERE length(clean_text) >= 80),
+  lists AS (SELECT source_id, {_cleaned("string_split_regex(clean_text, '\\n[ \\t]*\\n\\s*')")} AS b, {_cleaned("string_split(clean_text, chr(10))")} AS l FROM docs),
+  counted AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '^(?:\\[?\\d{{1,4}}\\]?|\\(\\d{{1,4}}\\))\\s*[.)]?\\s'))) AS k FROM lists),
+  chosen AS (SELECT source_id, CASE WHEN len(b) <= 5 AND len(l) >= 12 OR len(b) < 12 AND len(l) >= 20 AND k >= greatest(5, floor(len(l) * 0.18)) THEN l ELSE b END AS blocks FROM counted),
+  block AS (SELECT source_id, i AS block, blocks[i] AS t FROM (SELECT source_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM chosen)),
+  rough AS (SELECT *, {_cleaned("CASE WHEN length(t) <= 180 THEN [t] ELSE string_split(regexp_replace(t, '([.!?;…][»”\"'')]{0,2})\\s+([«“\"(]?[\\p{Lu}\\d])', '\\1' || chr(30) || '\\2', 'g'), chr(30)) END")} AS p FROM block),
+  parts AS (SELECT source_id, block, CASE WHEN length(t) > 900 AND len(p) <= 1 THEN {_cleaned("string_split(regexp_replace(t, '(^|[^\\p{L}\\p{N}])(" + "|".join(TRANSITIONS) + ")([^\\p{L}\\p{N}]|$)', '\\1' || chr(30) || '\\2\\3', 'g'), chr(30))")} ELSE p END AS p FROM rough),
+  merged AS (SELECT source_id, block, string_split(list_reduce(p, lambda done, part: done || CASE WHEN {_more("(", ")")} OR {_more("«", "»")} OR {_more("“", "”")}
+      OR regexp_matches({_LAST}, '(?:^|[\\s(])(?:{"|".join(ABBREVIATIONS)})\\.$') OR regexp_matches(part, '^[«“"''(\\[]*\\p{{Ll}}') OR regexp_matches({_LAST}, '(?:\\p{{Lu}}\\.){{2,}}$')
+      OR length(part) <= 180 AND regexp_matches(part, '^(?:\\p{{Lu}}[\\p{{L}}''’.-]+|\\(?\\d{{4}}\\)|\\d+\\(\\p{{Lu}}\\))') AND regexp_matches({_LAST}, '(?:^|[^\\p{{L}}\\p{{N}}])(?:ν|[vV][sS]?)\\.|\\(βλ\\.|,') THEN ' ' ELSE chr(31) END || part), chr(31)) AS m FROM parts WHERE len(p) > 0),
+  unit AS (SELECT source_id, block, i AS unit, m[i] AS t FROM (SELECT source_id, block, m, unnest(range(1, len(m) + 1)) AS i FROM merged)),
+  piece AS (SELECT source_id, block, unit, 0 AS piece, CAST(NULL AS VARCHAR) AS t, t AS rest FROM unit
+    UNION ALL
+    SELECT source_id, block, unit, piece + 1, regexp_replace(substr(rest, 1, cut), {_TRIM}, '', 'g'), CASE WHEN cut >= length(rest) THEN NULL ELSE regexp_replace(substr(rest, cut + 1), {_TRIM}, '', 'g') END FROM (
+      SELECT *, CASE WHEN length(rest) <= 7000 THEN length(rest) ELSE coalesce(nullif(greatest({", ".join(f"CASE WHEN strpos(reverse(substr(rest, 1, 7000)), {mark[::-1]!r}) > 0 AND 7001 - strpos(reverse(substr(rest, 1, 7000)), {mark[::-1]!r}) - {len(mark)} >= 2500 THEN 7001 - strpos(reverse(substr(rest, 1, 7000)), {mark[::-1]!r}) ELSE 0 END".replace(repr(chr(10)), "chr(10)") for mark in S.MARKERS)}), 0), 7000) END AS cut
+      FROM piece WHERE rest IS NOT NULL AND rest <> '')),
+  numbered AS (SELECT source_id, block, t, row_number() OVER (PARTITION BY source_id ORDER BY block, unit, piece) AS i, count(*) OVER (PARTITION BY source_id) AS n FROM piece WHERE t IS NOT NULL AND t <> ''),
+  place AS (SELECT source_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(1 AS BIGINT) AS cursor FROM docs
+    UNION ALL
+    SELECT source_id, i, found, found + size FROM (
+      SELECT p.source_id, u.i, length(u.t) AS size, CASE WHEN strpos(substr(d.clean_text, p.cursor), u.t) > 0 THEN p.cursor + strpos(substr(d.clean_text, p.cursor), u.t) - 1 ELSE p.cursor END AS found
+      FROM place p JOIN numbered u ON u.source_id = p.source_id AND u.i = p.i + 1 JOIN docs d ON d.source_id = p.source_id))
+SELECT u.source_id, 'P' || lpad(CAST(u.i AS VARCHAR), 6, '0') AS id, CAST(u.i AS INT) AS ordinal, 'B' || lpad(CAST(u.block AS VARCHAR), 5, '0') AS block_id, u.t AS text,
+  CASE WHEN n = 1 THEN 1.0 ELSE floor((u.i - 1)::DOUBLE / (n - 1) * 1000000 + 0.5) / 1000000.0 END AS rel_pos, CAST(p.start - 1 AS INT) AS start_offset, CAST(p.cursor - 1 AS INT) AS end_offset
+FROM numbered u JOIN place p ON p.source_id = u.source_id AND p.i = u.i
+"""
+
+
+@query(_PASSAGES_SQL)
 def segment_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.passages(judgments(spark, sf_dir), "source_id", "clean_text", ABBREVIATIONS, transitions=TRANSITIONS)
 
@@ -90,9 +132,6 @@ def segment_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_diagnostics(sized, "source_id", F.col("chars"), 6900)
 
 
-_TRIM = "'^[\\s\\x0B\\x{0085}\\p{Z}]+|[\\s\\x0B\\x{0085}\\p{Z}]+$'"
-
-
 @query(f"""
 WITH clean AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\x00', '', 'g'), '[\\x{{00A0}}\\x{{2007}}\\x{{202F}}]', ' ', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{4,}}', repeat(chr(10), 3), 'g'), {_TRIM}, '', 'g') AS t FROM documents),
   cut AS (SELECT 'doc_' || substr(sha256(t), 1, 24) AS source_id, list_filter(list_transform(string_split_regex(t, '\\n[ \\t]*\\n\\s*'), lambda x: regexp_replace(x, {_TRIM}, '', 'g')), lambda x: x <> '') AS b, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, {_TRIM}, '', 'g')), lambda x: x <> '') AS l FROM clean WHERE length(t) >= 80),
