@@ -58,8 +58,7 @@ def _more(opening: str, closing: str) -> str:
 
 
 #: The whole cut in SQL: blocks, sentences, the left fold of fragments, the cutting of long units, the cursor over places.
-_PASSAGES_SQL = f"""
-WITH RECURSIVE docs AS (SELECT DISTINCT source_id, clean_text FROM judgments WHERE length(clean_text) >= 80),
+_PASSAGES = f"""
   lists AS (SELECT source_id, {_cleaned("string_split_regex(clean_text, '\\n[ \\t]*\\n\\s*')")} AS b, {_cleaned("string_split(clean_text, chr(10))")} AS l FROM docs),
   counted AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '^(?:\\[?\\d{{1,4}}\\]?|\\(\\d{{1,4}}\\))\\s*[.)]?\\s'))) AS k FROM lists),
   chosen AS (SELECT source_id, CASE WHEN len(b) <= 5 AND len(l) >= 12 OR len(b) < 12 AND len(l) >= 20 AND k >= greatest(5, floor(len(l) * 0.18)) THEN l ELSE b END AS blocks FROM counted),
@@ -76,18 +75,20 @@ WITH RECURSIVE docs AS (SELECT DISTINCT source_id, clean_text FROM judgments WHE
       SELECT *, CASE WHEN length(rest) <= 7000 THEN length(rest) ELSE coalesce(nullif(greatest({", ".join(f"CASE WHEN strpos(reverse(substr(rest, 1, 7000)), {mark[::-1]!r}) > 0 AND 7001 - strpos(reverse(substr(rest, 1, 7000)), {mark[::-1]!r}) - {len(mark)} >= 2500 THEN 7001 - strpos(reverse(substr(rest, 1, 7000)), {mark[::-1]!r}) ELSE 0 END".replace(repr(chr(10)), "chr(10)") for mark in S.MARKERS)}), 0), 7000) END AS cut
       FROM piece WHERE rest IS NOT NULL AND rest <> '')),
   numbered AS (SELECT source_id, block, t, row_number() OVER (PARTITION BY source_id ORDER BY block, unit, piece) AS i, count(*) OVER (PARTITION BY source_id) AS n FROM piece WHERE t IS NOT NULL AND t <> ''),
-  place AS (SELECT source_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(1 AS BIGINT) AS cursor FROM docs
+  packed AS (SELECT d.source_id, d.clean_text, u.parts FROM docs d JOIN (SELECT source_id, list(t ORDER BY i) AS parts FROM numbered GROUP BY source_id) u ON u.source_id = d.source_id),
+  place AS (SELECT source_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(1 AS BIGINT) AS cursor, true AS hit FROM packed
     UNION ALL
-    SELECT source_id, i, found, found + size FROM (
-      SELECT p.source_id, u.i, length(u.t) AS size, CASE WHEN strpos(substr(d.clean_text, p.cursor), u.t) > 0 THEN p.cursor + strpos(substr(d.clean_text, p.cursor), u.t) - 1 ELSE p.cursor END AS found
-      FROM place p JOIN numbered u ON u.source_id = p.source_id AND u.i = p.i + 1 JOIN docs d ON d.source_id = p.source_id))
-SELECT u.source_id, 'P' || lpad(CAST(u.i AS VARCHAR), 6, '0') AS id, CAST(u.i AS INT) AS ordinal, 'B' || lpad(CAST(u.block AS VARCHAR), 5, '0') AS block_id, u.t AS text,
-  CASE WHEN n = 1 THEN 1.0 ELSE floor((u.i - 1)::DOUBLE / (n - 1) * 1000000 + 0.5) / 1000000.0 END AS rel_pos, CAST(p.start - 1 AS INT) AS start_offset, CAST(p.cursor - 1 AS INT) AS end_offset
-FROM numbered u JOIN place p ON p.source_id = u.source_id AND p.i = u.i
+    SELECT source_id, i, CASE WHEN at_ > 0 THEN cursor + at_ - 1 ELSE cursor END, CASE WHEN at_ > 0 THEN cursor + at_ - 1 ELSE cursor END + size, at_ > 0 FROM (
+      SELECT p.source_id, p.i + 1 AS i, p.cursor, length(k.parts[p.i + 1]) AS size, strpos(substr(k.clean_text, p.cursor), k.parts[p.i + 1]) AS at_ FROM place p JOIN packed k ON k.source_id = p.source_id WHERE p.i < len(k.parts)))
 """
 
 
-@query(_PASSAGES_SQL)
+@query(f"""
+WITH RECURSIVE docs AS (SELECT DISTINCT source_id, clean_text FROM judgments WHERE length(clean_text) >= 80), {_PASSAGES}
+SELECT u.source_id, 'P' || lpad(CAST(u.i AS VARCHAR), 6, '0') AS id, CAST(u.i AS INT) AS ordinal, 'B' || lpad(CAST(u.block AS VARCHAR), 5, '0') AS block_id, u.t AS text,
+  CASE WHEN n = 1 THEN 1.0 ELSE floor((u.i - 1)::DOUBLE / (n - 1) * 1000000 + 0.5) / 1000000.0 END AS rel_pos, CAST(p.start - 1 AS INT) AS start_offset, CAST(p.cursor - 1 AS INT) AS end_offset
+FROM numbered u JOIN place p ON p.source_id = u.source_id AND p.i = u.i
+""")
 def segment_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.passages(judgments(spark, sf_dir), "source_id", "clean_text", ABBREVIATIONS, transitions=TRANSITIONS)
 
@@ -149,11 +150,20 @@ def flow_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_diagnostics(sizes.select("source_id", F.explode_outer("sizes").alias("chars")), "source_id", F.col("chars"), 6900)
 
 
-@query()
+_RANK = "CAST(s[CAST(floor((len(s) - 1) * {}) AS INT) + 1] AS INT)"
+
+
+@query(f"""
+WITH RECURSIVE clean AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\x00', '', 'g'), '[\\x{{00A0}}\\x{{2007}}\\x{{202F}}]', ' ', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{4,}}', repeat(chr(10), 3), 'g'), {_TRIM}, '', 'g') AS t FROM documents),
+  docs AS (SELECT 'doc_' || substr(sha256(t), 1, 24) AS source_id, t AS clean_text FROM clean WHERE length(t) >= 80), {_PASSAGES},
+  sizes AS (SELECT p.source_id, list(p.cursor - p.start ORDER BY p.cursor - p.start) AS s, count(*) FILTER (NOT p.hit) AS j FROM place p WHERE p.i > 0 GROUP BY p.source_id)
+SELECT source_id, CAST(len(s) AS BIGINT) AS n_passages, CAST(list_sum(s) AS BIGINT) AS passage_chars, CAST(s[1] AS INT) AS minimum, {_RANK.format(0.5)} AS median, {_RANK.format(0.9)} AS p90, {_RANK.format(0.95)} AS p95, {_RANK.format(0.99)} AS p99,
+  CAST(s[-1] AS INT) AS maximum, CAST(len(list_filter(s, lambda x: x >= 6900)) AS BIGINT) AS n_at_max, CAST(j AS BIGINT) AS n_joined FROM sizes
+""")
 def flow_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: raw texts to clean documents, blocks, sentences, merged and split units, their places, diagnostics.
 
-    Besides the lengths, how many passages aren't in the text as they stand. No SQL; tested against plain loops.
+    Besides the lengths, how many passages aren't in the text as they stand.
     """
     from ..functions import text as T
     from ..operators.report import length_diagnostics
