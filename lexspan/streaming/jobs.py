@@ -52,6 +52,58 @@ def job_states(requests: DataFrame, job: str = "job_id", kind: str = "kind", tim
     return requests.groupBy(job).agg(F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.max_by(kind, F.struct(time, kind)).alias("last_kind"), F.count("*").alias("events"))
 
 
+#: Where each kind of request leads from a state; any other request leaves the state as it is.
+TRANSITIONS = {("none", "create"): "queued", ("queued", "start"): "running", ("running", "complete"): "completed", ("running", "fail"): "failed", ("queued", "cancel"): "cancelled", ("running", "cancel"): "cancelled"}
+
+
+def job_machine(requests: DataFrame, deadline_seconds: dict[str, int], job: str = "job_id", kind: str = "kind", mode: str = "run_mode", time: str = "requested_at", late: str = "2 hours", transitions: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """(job, at, state) of every change of state of a stream of requests, deadlines included.
+
+    A job that is still queued or running when its mode's deadline has passed since it was made becomes ``timed_out`` at that
+    moment: seen by a later request of the job, or else by the watermark, ``late`` behind the latest request. Within a
+    micro-batch requests are taken in order of time. Finished jobs keep their state until the watermark has passed their
+    deadline, so that what is repeated within it changes nothing; after that the state goes.
+    """
+    steps = transitions or TRANSITIONS
+    kind_of_job = requests.schema[job].dataType.simpleString()
+    default = max(deadline_seconds.values())
+    open_states = ("queued", "running")
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        current, deadline = state.get if state.exists else ("none", 0)
+        changes: list[tuple[int, str]] = []
+        if state.hasTimedOut:
+            if current in open_states:
+                changes.append((deadline, "timed_out"))
+            state.remove()
+        else:
+            rows = pd.concat(list(frames))
+            rows = rows.assign(__at=rows[time].astype("datetime64[us]").astype("int64")).sort_values(["__at", kind], kind="stable")
+            for what, how, at in zip(rows[kind], rows[mode], rows["__at"]):
+                if current in open_states and at > deadline:
+                    current = "timed_out"
+                    changes.append((deadline, current))
+                following = steps.get((current, what))
+                if following is not None:
+                    if current == "none":
+                        deadline = int(at) + deadline_seconds.get(how, default) * 1_000_000
+                    current = following
+                    changes.append((int(at), current))
+            if current == "none":
+                return
+            state.update((current, deadline))
+            state.setTimeoutTimestamp(max(deadline // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if changes:
+            yield pd.DataFrame({job: name[0], "at": pd.to_datetime([at for at, _ in changes], unit="us"), "state": [what for _, what in changes]})
+
+    return (
+        requests.select(job, kind, mode, time)
+        .withWatermark(time, late)
+        .groupBy(job)
+        .applyInPandasWithState(step, f"{job} {kind_of_job}, at timestamp, state string", "state string, deadline long", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 def append_versions(path: str):
     """A foreachBatch function that writes each batch to a folder of its own; a batch tried again replaces itself."""
 

@@ -50,3 +50,25 @@ def test_upsert(spark, tmp_path):
         write(spark.createDataFrame([("a", 2, "y"), ("b", 0, "old")], "k string, v int, w string"), 1)
     rows = {(r.k, r.v, r.w) for r in jobs.current_versions(spark, path, ["k"], "v").collect()}
     assert rows == {("a", 2, "y"), ("b", 1, "x")}
+
+
+def test_jobs_time_out_by_request_and_by_watermark(spark, tmp_path):
+    schema = "job_id string, kind string, run_mode string, requested_at timestamp"
+    at = lambda minutes: EPOCH + dt.timedelta(minutes=minutes)
+    batches = [
+        [("a", "create", "full", at(0)), ("a", "start", "full", at(1)), ("b", "create", "sections", at(0)), ("c", "create", None, at(0)), ("d", "cancel", "full", at(0)), ("e", "create", "full", at(0))],
+        [("a", "complete", "full", at(5)), ("a", "cancel", "full", at(6)), ("b", "start", "sections", at(9)), ("e", "cancel", "full", at(3)), ("e", "cancel", "full", at(3))],
+        [("z", "create", "full", at(600))],
+        [("z", "start", "full", at(601))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    rows = run(spark, jobs.job_machine(stream, {"full": 12 * 60, "sections": 4 * 60}), "machine", tmp_path)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.at, r.state != "queued")):
+        got.setdefault(r.job_id, []).append((r.state, (r.at - EPOCH).total_seconds() / 60))
+    assert got["a"] == [("queued", 0), ("running", 1), ("completed", 5)]
+    assert got["b"] == [("queued", 0), ("timed_out", 4)]  # seen by a later request
+    assert got["c"] == [("queued", 0), ("timed_out", 12)]  # seen by the watermark
+    assert "d" not in got and got["e"] == [("queued", 0), ("cancelled", 3)]
