@@ -263,6 +263,11 @@ def mapped(c: Column | str, names: dict[str, str], default: str = "") -> Column:
     return out
 
 
+def first_match(c: Column | str, patterns: Sequence[str]) -> Column:
+    """The first group of the first pattern that is found, null if none is."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(col(c), p, 1), F.lit("")) for p in patterns])
+
+
 def labelled(parts: Sequence[tuple[str, Column]], joiner: str = "; ") -> Column:
     """'label: value' of the parts that have a value, joined."""
     items = F.array(*[F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{name}: "), v)) for name, v in parts])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import escape_html, omitted
+
 
 def length_diagnostics(items: DataFrame, key: str, size: Column, at_max: int) -> DataFrame:
     """Count, sum and order statistics of sizes by key; the rank of a fraction f is floor((n - 1) f).
@@ -46,6 +48,22 @@ def markdown_table(rows: DataFrame, order: str, columns: Sequence[str], longest:
     return head.unionByName(body)
 
 
+def html_table(rows: DataFrame, order: str, columns: Sequence[str], failed: Column, reason: Column) -> DataFrame:
+    """(position, line): an HTML table, cells escaped; a failed row has its first column and the reason over the others."""
+    cell = lambda c: F.concat(F.lit("<td>"), escape_html(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>"))
+    good = F.concat(*[cell(F.col(c)) for c in columns])
+    bad = F.concat(cell(F.col(columns[0])), F.lit(f'<td colspan="{len(columns) - 1}" class="failed">'), escape_html(F.coalesce(reason, F.lit(""))), F.lit("</td>"))
+    body = rows.select(F.col(order).cast("bigint").alias("position"), F.concat(F.lit("<tr>"), F.when(failed, bad).otherwise(good), F.lit("</tr>")).alias("line"))
+    head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+    last = rows.agg((F.coalesce(F.max(F.col(order).cast("bigint")), F.lit(0)) + 1).alias("position"), F.lit("</table>").alias("line"))
+    return rows.sparkSession.createDataFrame([(0, head)], "position bigint, line string").unionByName(body).unionByName(last)
+
+
+def compacted(records: DataFrame, omit: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+    """Records without what is too long to carry along: some columns say how long they were, others go."""
+    return records.withColumns({c: omitted(c) for c in omit}).drop(*drop)
+
+
 def numbered_lines(rows: DataFrame, order: Sequence[str], prefix: int = 40) -> DataFrame:
     """``rows`` with ``position`` by several columns, nulls last, the first of them a string: rows are numbered within ranges of its beginning."""
     cut = rows.withColumn("__range", F.coalesce(F.substring(order[0], 1, prefix), F.lit("\U0010ffff")))

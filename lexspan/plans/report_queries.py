@@ -38,6 +38,31 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.markdown_table(placed, "position", ("title", "n_passages", "longest"))
 
 
+def _escaped(c: str) -> str:
+    return f"""replace(replace(replace(replace(replace(coalesce(CAST({c} AS VARCHAR), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
+
+
+@query(f"""
+WITH d AS (SELECT *, row_number() OVER (ORDER BY url, generated_at, n_at_max, html_chars, length.maximum) AS position FROM (SELECT DISTINCT * FROM diagnostics))
+SELECT 0 AS position, '<table><tr><th>title</th><th>n_passages</th><th>longest</th></tr>' AS line UNION ALL SELECT count(*) + 1, '</table>' FROM d UNION ALL
+SELECT position, '<tr><td>' || {_escaped("title")} || CASE WHEN length IS NULL THEN '</td><td colspan="2" class="failed">no lengths of ' || {_escaped("url")} || '</td></tr>' ELSE '</td><td>' || {_escaped("n_passages")} || '</td><td>' || {_escaped("length.maximum")} || '</td></tr>' END FROM d
+""")
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each diagnosed document; one without lengths is a failure and says so."""
+    d = table(spark, sf_dir, "diagnostics").distinct().select("title", "n_passages", F.col("length.maximum").alias("longest"), "url", "generated_at", "n_at_max", "html_chars", F.col("length").isNull().alias("failed"))
+    placed = report.numbered_lines(d, ("url", "generated_at", "n_at_max", "html_chars", "longest"))
+    return report.html_table(placed, "position", ("title", "n_passages", "longest"), F.col("failed"), F.concat(F.lit("no lengths of "), F.coalesce("url", F.lit(""))))
+
+
+@query("""
+SELECT DISTINCT source_id, url, '[omitted: ' || length(original_html) || ' characters]' AS original_html, '[omitted: ' || length(clean_text) || ' characters]' AS clean_text FROM judgments
+""")
+def report_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments without their long texts, the raw lengths and times dropped."""
+    j = table(spark, sf_dir, "judgments").select("source_id", "url", "original_html", "clean_text", "n_chars", "retrieved_at")
+    return report.compacted(j, ("original_html", "clean_text"), ("n_chars", "retrieved_at")).distinct()
+
+
 @query(f"WITH {_JUDGED}, {_CLAIMS}, {_ISSUES}, {_SCORES} SELECT CAST(final // 10 AS BIGINT) AS decile, count(*) AS documents, CAST(sum(penalty) AS BIGINT) AS penalties, count(*) FILTER (final >= 40) AS passed FROM final GROUP BY 1")
 def report_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).withColumn("decile", F.floor(F.col("final") / 10))

@@ -182,8 +182,7 @@ WHERE citation IS NOT NULL GROUP BY source_id
 def text_first_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of two patterns in the first forty passages, the earliest passage deciding."""
     patterns = (r"(?:Appl\.|Case No\.|Civil Appeal|Action No\.|Προσφυγή|Πολ\. Έφεση|Αγωγή Αρ\.|Υπόθ\. Αρ\.) (\d+/\d{4})", r"No\. (\d+/\d{4})")
-    found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in patterns])
-    head = delivered(spark, sf_dir).where("ordinal <= 40").select("source_id", "ordinal", found.alias("citation")).where("citation is not null")
+    head = delivered(spark, sf_dir).where("ordinal <= 40").select("source_id", "ordinal", T.first_match("text", patterns).alias("citation")).where("citation is not null")
     return head.groupBy("source_id").agg(F.min_by("citation", "ordinal").alias("citation"), F.min("ordinal").alias("ordinal"))
 
 
