@@ -205,7 +205,7 @@ def _streamed(rows: DataFrame, key: str, order: str, schema: str, fold) -> DataF
 def smoothed(assigned: DataFrame, passages: DataFrame, separator: str = r"^[\s_\-–—=·•.*]{3,}$", key: str = "source_id", width: int = RANGE) -> DataFrame:
     """The assignment with short interruptions absorbed. Documents stream by their labels alone, not their texts, in chunks
     that begin at places which can't be absorbed: these keep their label whatever stands before."""
-    marks = passages.select(key, "ordinal", F.regexp_like("text", F.lit(separator)).alias("__separator"))
+    marks = passages.select(key, "ordinal", F.regexp_like("text", F.lit(separator)).alias("__separator")).groupBy(key, "ordinal").agg(F.bool_or("__separator").alias("__separator"))
     rows = assigned.join(marks, [key, "ordinal"], "left").select(*assigned.columns, (~F.col("voted") | F.coalesce("__separator", F.lit(False))).alias("absorbable"))
     rows = _chunked(rows, key, "ordinal", width, lambda w: ~F.col("absorbable"), F.struct("kind", "speaker"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in assigned.schema) + ", changed boolean"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordered, spans, windows
+from ..operators.lineage import cut
 from .registry import query, table
 
 
@@ -148,7 +149,7 @@ _MERGED = """
 
 @query(f"WITH RECURSIVE {_CANDIDATES}, {_VOTES}, {_ASSIGNED}, {_SMOOTHED} SELECT source_id, ordinal, kind, speaker, changed FROM smooth")
 def span_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.smoothed(assigned(spark, sf_dir), keyed(spark, sf_dir)).select("source_id", "ordinal", "kind", "speaker", "changed")
+    return spans.smoothed(cut(assigned(spark, sf_dir)), table(spark, sf_dir, "passages")).select("source_id", "ordinal", "kind", "speaker", "changed")
 
 
 @query(f"""WITH RECURSIVE {_CANDIDATES}, {_VOTES}, {_ASSIGNED}, {_SMOOTHED}, {_MERGED}
@@ -158,8 +159,9 @@ def span_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smooth = spans.smoothed(assigned(spark, sf_dir), keyed(spark, sf_dir)).drop("changed")
-    return spans.merged(spans.islands(smooth), pairs={frozenset(("counsel", "witness")): "hearing"})
+    # every step reads its input twice, rows and summaries of ranges: what a step gives is written once
+    smooth = cut(spans.smoothed(cut(assigned(spark, sf_dir)), table(spark, sf_dir, "passages")).drop("changed"))
+    return spans.merged(cut(spans.islands(smooth)), pairs={frozenset(("counsel", "witness")): "hearing"})
 
 
 @query(f"""WITH RECURSIVE {_CANDIDATES}, {_VOTES}, {_ASSIGNED}, {_SMOOTHED}, {_MERGED},
