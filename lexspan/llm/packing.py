@@ -19,14 +19,12 @@ ids are ordinary values.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from .tokenize import count_tokens
 
 #: Containers that a bucket is meant to fill, and rows it may have however small they are.
@@ -101,27 +99,13 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int
     return out
 
 
-def _checkpoint(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder. Where none is set, a local session gets a folder of its own,
-    removed at exit; on a cluster the counts are made twice instead, since no folder of one machine could hold them."""
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            return df
-        folder = tempfile.mkdtemp(prefix="lexspan-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def pack(documents: DataFrame, capacity: int, tokenizer: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", directory: str | None = None) -> DataFrame:
     """(container_id, id, piece_no, token_start, token_end, n_tokens, container_offset) of every piece.
 
     Texts are read once, to be counted; what is shuffled is an id, a source, a hash and a size of each.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("cluster"), F.col(text_col).alias("text"))
-    counted = _checkpoint(count_tokens(rows, ["id", "source", "cluster"], tokenizer, "text", directory), spark)
+    counted = cut(count_tokens(rows, ["id", "source", "cluster"], tokenizer, "text", directory))
     tokens, n_rows = counted.agg(F.coalesce(F.sum(F.col("n_tokens").cast("bigint")), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-tokens // (capacity * BUCKET_CONTAINERS)), -(-n_rows // BUCKET_ROWS))
     # the row's place spreads rows of one id, or without any, over the buckets like all others
