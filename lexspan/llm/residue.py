@@ -218,6 +218,10 @@ def _of_fault(word: str) -> bool:
     return word[:3] in _FAULT_HEADS and word.startswith(FAULT)
 
 
+#: A unit that reports what persons of a case said or found is content, whatever it quotes.
+_REPORTED = re.compile(r"(?i)\b(?:witness|testif|told the|court (?:held|accept|found|not)|plaintiff|defendant|appellant|respondent|μάρτυρ|κατέθεσ|ενάγ|εναγ|εφεσείο|δικαστήριο (?:έκριν|δέχ|αποδ)|tanık|davacı|davalı|témoin|zeuge|kläger|свидетел|истец)")
+
+
 def _words(text: str) -> list[str]:
     return _WORDS.findall(text.replace("İ", "i").lower())
 
@@ -258,7 +262,7 @@ def judge(text: str | None) -> tuple[str, float] | None:
             words = _words(plain) if fills or sites else []
             if hinted and _FILLER.search(plain) or fills and _filler_words(words):
                 share["filler"] += len(unit)
-            elif hinted and _MESSAGE.search(plain) or sites and _site_message(words):
+            elif (hinted and _MESSAGE.search(plain) or sites and _site_message(words)) and not _REPORTED.search(plain):
                 share["message"] += len(unit)
             else:
                 share["content"] += len(unit)

@@ -16,6 +16,8 @@ from lexspan.llm import residue
         "Use a placeholder such as [[court]] in the file.\n\n```\n<<date>>\n```\n\nThe variable ${name} is replaced by its value.",
         "Η αγωγή αφορούσε λογισμικό σε JavaScript που δεν παραδόθηκε.",
         "The error message produced in evidence, \"session expired\", was held to be of no weight.",
+        "The witness said the page was not found in the bundle, and the Court accepted that.",
+        "Ο μάρτυρας κατέθεσε ότι η σελίδα δεν βρέθηκε στον φάκελο.",
         "The parties disagreed about the price. The term was left undefined.",
     ],
 )
