@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,42 @@ def arrow_map(df: DataFrame, columns: Sequence[str], schema: str, factory: Calla
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
     return df.select(*columns).mapInArrow(run, struct)
+
+
+#: Rows counted at once, and the counts kept until they are added up.
+TALLY_ROWS, TALLY_KEPT = 2048, 1_000_000
+
+Tally = tuple[np.ndarray, np.ndarray]
+
+
+def added(parts: Sequence[Tally]) -> Tally:
+    """Each item once, with the sum of its counts."""
+    items, at = np.unique(np.concatenate([np.empty(0, np.int64), *(i for i, _ in parts)]), return_inverse=True)
+    sums = np.zeros(len(items), np.int64)
+    np.add.at(sums, at, np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)]))
+    return items, sums
+
+
+def arrow_tally(df: DataFrame, columns: Sequence[str], factory: Callable[[], Callable[[list[list]], Tally]]) -> Tally:
+    """The items that ``factory()`` finds in all rows, each with the sum of its counts.
+
+    The chunk function returns an array of numbers and one of their counts. They are added up in each partition, then among
+    them; what reaches the driver is as large as the set of items, whatever the number of rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, kept, size = factory(), [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TALLY_ROWS):
+                part = batch.slice(at, TALLY_ROWS)
+                kept.append(fn([part.column(i).to_pylist() for i in range(part.num_columns)]))
+                size += len(kept[-1][0])
+                if size > TALLY_KEPT:
+                    kept = [added(kept)]
+                    size = 0
+        items, sums = added(kept)
+        for at in range(0, len(items), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(items[at : at + 100_000]), pa.array(sums[at : at + 100_000])], ["item", "n"])
+
+    found = df.select(*columns).mapInArrow(run, "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n")).toArrow()
+    return found["item"].to_numpy(), found["n"].to_numpy()

@@ -76,7 +76,8 @@ _STABLE = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xF900
 
 
 @lru_cache(1)
-def _tables() -> tuple[dict[int, str], re.Pattern]:
+def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
+    """What characters become; stretches of unstable ones; a character that may be one, which is found faster."""
     changed, unstable = {}, []
     cp = 0x80
     while cp < 0x110000:
@@ -90,7 +91,9 @@ def _tables() -> tuple[dict[int, str], re.Pattern]:
         if to != ch or unicodedata.combining(ch) or not unicodedata.is_normalized("NFC", ch) or _may_compose_back(ch):
             unstable.append(cp)
         cp += 1
-    return changed, re.compile(f"[{_ranges(unstable)}]+")
+    few = set(unstable)
+    stable = [cp for cp in range(0x10000) if cp not in few]
+    return changed, re.compile(f"[{_ranges(unstable)}]+"), re.compile(f"[^{_ranges(stable)}]")
 
 
 def _ranges(points: list[int]) -> str:
@@ -164,10 +167,10 @@ def _unmix(text: str) -> str:
 def canonical(text: str | None) -> str | None:
     if text is None or text.isascii() and "\r" not in text:
         return text
-    changed, pattern = _tables()
+    changed, pattern, doubtful = _tables()
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     parts, at = [], 0
-    for m in pattern.finditer(text):
+    for m in pattern.finditer(text) if doubtful.search(text) else ():
         start = max(m.start() - 1, at)  # the starter that marks may attach to
         parts += (text[at:start], unicodedata.normalize("NFC", text[start : m.end()].translate(changed)))
         at = m.end()

@@ -1,11 +1,12 @@
 """Problem 4: find text that was decoded with the wrong character encoding, and restore it.
 
-A smoothed character model is trained on clean records: seed texts choose, from a bounded sample,
-records every line of which is likely, and the model is trained again on these. A line is scored
+A smoothed character model is trained on the clean lines of all records: seed texts choose those that are
+likely, the model is trained on these, and on those among them that it finds likely itself. Only counts of
+character pairs and of scores reach the driver. A line is scored
 as it stands; lines whose every character pair is likely can gain nothing and are done. For the others each
 encode-decode chain (the encoding it was read in, undone, then the one it was written in, twice
 over for doubly read UTF-8) gives a candidate; the likeliest is accepted if it beats the line by
-more than a margin validated on held-out clean records, the line counting in look-alike-free form
+more than a margin validated on clean lines, each held out once, the line counting in look-alike-free form
 so that disguised letters are no evidence. Text lost for good (replacement characters, words of
 question marks) is found by its marks.
 
@@ -16,24 +17,33 @@ is never looked at; a partly lost line is restored as far as its bytes allow. Re
 from __future__ import annotations
 
 import codecs
+import math
 import re
 import unicodedata
+import zlib
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .arrowmap import arrow_map, bounded_sample
+from ..operators.lineage import cut
+from .arrowmap import added, arrow_map, arrow_tally, spread
 from .canonical import in_context
-from .charmodel import CharModel
+from .charmodel import Alphabet, CharModel, code_points, per_line
 from .seeds import SEEDS
 
-#: Bound of the training sample in records, and of the characters taken from it.
-TRAIN_RECORDS, TRAIN_CHARS = 1200, 6_000_000
+#: Least length of lines that train the model, and their least log likelihood by character in the model of the seeds.
+LEAST_LINE, LEAST_LIKELY = 12, -5.2
+#: Pairs of characters that all counted ones stand for; the smoothing and the limits in nats below are meant for about as many.
+SCALE = 1_500_000
+#: Parts of the clean lines that are held out in turn.
+FOLDS = 9
 #: What pairs of a line lack below TYPICAL, counted where they are below UNLIKELY, is all that a chain can gain.
 UNLIKELY, TYPICAL = -8.0, -2.5
 #: A line that lacks less than this, in nats, is done.
 SUSPECT = 16.0
-#: Least margin in nats, and the factor on the largest gain seen on held-out clean lines.
+#: Least margin in nats, and the factor on the largest gain seen on a clean line held out.
 LEAST_MARGIN, MARGIN_FACTOR = 10.0, 1.25
 #: The least margin of lines that are UTF-8 throughout, as right text hardly ever is.
 LEAST_UTF8 = 6.0
@@ -109,7 +119,7 @@ _EXOTIC = re.compile(r"[     ​‌‍‎‏⁠﻿­　]")
 
 def lost(text: str) -> bool:
     """Marks of characters that can't be restored."""
-    return _LOST.search(text) is not None or _QUESTIONS.search(text) is not None
+    return _LOST.search(text) is not None or "??" in text and _QUESTIONS.search(text) is not None
 
 
 def _plain(line: str) -> str:
@@ -149,6 +159,8 @@ def _read_of(low: int, high: int) -> np.ndarray:
 #: Letters that the leading bytes of two-byte UTF-8 sequences are read as (scripts with vowel signs left out), and symbols that those after them are.
 _LEADS = _read_of(0xC2, 0xE0) & (np.arange(0x3000) < 0x530)
 _TAILS = _read_of(0x80, 0xC0) & ~np.array([chr(c).isalpha() for c in range(0x3000)])
+#: The same of sequences of three bytes, the last of which may be read as a letter, too.
+_LEADS3, _LAST = _read_of(0xE0, 0xF0) & (np.arange(0x3000) < 0x530), _read_of(0x80, 0xC0)
 
 
 class Repairer:
@@ -276,54 +288,189 @@ _LETTERS = "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώϊϋ
 _TYPOGRAPHIC = "€£§°·–—…“”«»„‘’№½²³•©™、。，！？；：（）《》、।؟،؛՛՞՜։"
 
 
-def _traced(line: str) -> bool:
-    """Whether two characters look like a sequence of UTF-8 read wrongly; such lines train nothing."""
-    cps = np.minimum(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2FFF)
-    return bool((_LEADS[cps[:-1]] & _TAILS[cps[1:]]).any())
+#: Characters of which lines may consist to train the model, ideographs besides.
+_KNOWN = "".join(SEEDS.values()) + _LETTERS + "".join(map(chr, (*range(0x430, 0x450), *range(0x531, 0x588), *range(0x620, 0x653), *range(0x900, 0x970), *range(0xE00, 0xE5C))))
+_KNOWN = {*_KNOWN, *_KNOWN.upper(), *_KNOWN.lower(), *map(chr, range(32, 127)), *_TYPOGRAPHIC}
+_KNOWN_CP = np.zeros(0x10000 + 1, bool)
+_KNOWN_CP[[*map(ord, _KNOWN), 0x0A, *range(0x4E00, 0xA000)]] = True
 
 
-def _capitals(lines: list[str]) -> list[str]:
-    """Some of the lines as headings are written: in capitals, with and without accents."""
-    capitals = [x.upper() for x in lines[::4]]
-    return [*capitals, *(re.sub("[\u0300-\u0304\u0306-\u036f]", "", unicodedata.normalize("NFD", x)) for x in capitals)]
+def _bare(char: str) -> str:
+    return re.sub("[\u0300-\u0304\u0306-\u036f]", "", unicodedata.normalize("NFD", char.upper()))
 
 
-def train(records: list[str]) -> tuple[CharModel, float, float]:
-    """The model and its margins (any chain, UTF-8 chains) from a bounded list of texts, garbled ones among them."""
-    seed = CharModel.train(list(SEEDS.values()))
-    lines = list(dict.fromkeys(x for t in records if t and not lost(t) for x in t.split("\n") if len(x) >= 12))
-    text = "".join(SEEDS.values())
-    letters = text + _LETTERS + "".join(map(chr, (*range(0x430, 0x450), *range(0x531, 0x588), *range(0x620, 0x653), *range(0x900, 0x970), *range(0xE00, 0xE5C))))
-    known = {*letters, *letters.upper(), *letters.lower(), *map(chr, range(32, 127)), *_TYPOGRAPHIC}
-    clean = []
-    for line in lines:
-        if not _traced(line) and all(c in known or "\u4e00" <= c <= "\u9fff" for c in set(line)) and _plain(line) == line and seed.total(line) / (len(line) + 1) > -5.2:
-            clean.append(line)
+_ALPHABET = Alphabet({x for c in _KNOWN for x in (c, *c.upper(), *_bare(c))})
+_CELLS = _ALPHABET.size**2
+
+
+@lru_cache(1)
+def _seed_model() -> CharModel:
+    return CharModel.train(list(SEEDS.values()))
+
+
+def _model(pairs: np.ndarray) -> CharModel:
+    """The model of counted lines, a quarter of them in capitals and another without accents, too, as headings are written, and of the seeds.
+
+    Counts of more than SCALE pairs are brought to that many, in proportion: what a pair not seen lacks would grow with the table, else.
+    """
+    pairs = pairs * min(1.0, SCALE / max(1, pairs.sum()))
+    headings = _ALPHABET.mapped(pairs, str.upper) + _ALPHABET.mapped(pairs, _bare)
+    return CharModel.of(_ALPHABET, _ALPHABET.count(list(SEEDS.values())) + pairs + headings / 4)
+
+
+def _is_utf8(line: str) -> bool:
+    """Whether a line of known characters is UTF-8 throughout, read in another encoding."""
+    for read in ("cp1252", "cp1253", "cp1251", "cp1254"):
+        try:
+            line.encode(read).decode("utf_8")
+            return True
+        except UnicodeError:
+            pass
+    return False
+
+
+def clean_lines(texts: list[str | None]) -> list[str]:
+    """The distinct lines of these texts that may train the model; texts with lost characters have none."""
+    lines = list(dict.fromkeys(x for t in texts if t and not lost(t) for x in t.split("\n") if len(x) >= LEAST_LINE))
+    if not lines:
+        return []
+    cps = code_points(lines)
+    low = np.minimum(cps, 0x2FFF)
+    # characters that look like a sequence of UTF-8 read wrongly; with many lines its pairs would become likely
+    tails = _TAILS[low[1:]]
+    traced = _LEADS[low[:-1]] & tails
+    traced[:-1] |= _LEADS3[low[:-2]] & tails[:-1] & _LAST[low[2:]]
+    good = per_line(_KNOWN_CP[np.minimum(cps[1:], 0x10000)] & ~traced, lines, np.logical_and, bool)
+    likely = good & (_seed_model().totals(lines) > LEAST_LIKELY * np.array([len(x) + 1 for x in lines]))
+    return [x for i in np.flatnonzero(likely).tolist() if (x := lines[i]).isascii() or not _is_utf8(x) and _plain(x) == x]
+
+
+def _binned(model: CharModel, lines: list[str]) -> np.ndarray:
+    """Log likelihoods by character in thousandths."""
+    return np.floor(1000 * model.totals(lines) / np.array([len(x) + 1 for x in lines])).astype(np.int64)
+
+
+def _selected(cols: list[list], chosen: tuple[CharModel, int] | None) -> tuple[list[int], list[str]]:
+    """Folds and texts of the lines that a model makes as likely as given, at first of all."""
+    folds, lines = cols
+    if chosen and lines:
+        at = np.flatnonzero(_binned(chosen[0], lines) >= chosen[1]).tolist()
+        folds, lines = [folds[i] for i in at], [lines[i] for i in at]
+    return folds, lines
+
+
+def _pairs(chosen: tuple[CharModel, int] | None):
+    """Counts pairs of selected lines by fold."""
+
+    def chunk(cols):
+        folds, lines = _selected(cols, chosen)
+        parts = []
+        for fold in sorted(set(folds)):
+            found = _ALPHABET.count([x for f, x in zip(folds, lines) if f == fold])
+            at = np.flatnonzero(found)
+            parts.append((at + fold * _CELLS, found[at]))
+        return parts[0] if len(parts) == 1 else added(parts)
+
+    return chunk
+
+
+def _scores(chosen: tuple[CharModel, int] | None, model: CharModel):
+    """Counts selected lines by their log likelihood."""
+
+    def chunk(cols):
+        lines = _selected(cols, chosen)[1]
+        return np.unique(_binned(model, lines) if lines else np.empty(0, np.int64), return_counts=True)
+
+    return chunk
+
+
+def _gains(chosen: tuple[CharModel, int] | None, cells: np.ndarray, folds: np.ndarray):
+    """Counts selected lines by what a chain gains on them, in thousandths, twice that and one for UTF-8, by the model of all other folds."""
+    trials: dict[int, Repairer] = {}
+
+    def trial(fold: int) -> Repairer:
+        if fold not in trials:
+            pairs = np.zeros(_CELLS, np.int64)
+            pairs[cells] = folds.sum(0) - folds[fold]
+            trials[fold] = Repairer(_model(pairs), 0.0)
+        return trials[fold]
+
+    def chunk(cols):
+        own, lines = _selected(cols, chosen)
+        gains = []
+        for fold in sorted(set(own)):
+            held = [x for f, x in zip(own, lines) if f == fold]
+            for x, suspect in zip(held, trial(fold).suspects(held)):
+                if suspect and (found := trial(fold).best(x)) and found[0] > 0:
+                    gains.append(2 * math.ceil(1000 * found[0]) + found[1].endswith("utf_8 "))
+        return np.unique(np.array(gains, np.int64), return_counts=True)
+
+    return chunk
+
+
+def _median(values: np.ndarray, counts: np.ndarray) -> int:
+    order = np.argsort(values, kind="stable")
+    return int(values[order][np.searchsorted(np.cumsum(counts[order]), (counts.sum() + 1) // 2)])
+
+
+def _fitted(tally) -> tuple[CharModel, float, float]:
+    """The model and its margins (any chain, UTF-8 chains) from all clean lines; ``tally`` counts what one of the functions above finds in them.
+
+    Every line is held out once, in one of FOLDS folds. A line that no pair makes suspect is never repaired, whatever a
+    margin is, so only the others are tried; what gains SURE least margins is garbled text, which says nothing of right text.
+    """
+
+    def counted(chosen):
+        folds = np.zeros((FOLDS, _CELLS), np.int64)
+        items, n = tally(_pairs, chosen)
+        folds.ravel()[items] = n
+        return folds
+
+    chosen = None
+    folds = counted(chosen)
     # twice: what is unlikely among the selected lines goes, too
     for _ in range(2):
-        model = CharModel.train([*SEEDS.values(), *clean, *_capitals(clean)])
-        scores = np.array([model.total(x) / (len(x) + 1) for x in clean]) if clean else np.empty(0)
-        if len(scores) < 50:
+        model = _model(folds.sum(0))
+        scores, n = tally(_scores, chosen, model)
+        if n.sum() < 50:
             break
-        low = np.median(scores) - 6 * max(0.15, float(np.median(np.abs(scores - np.median(scores)))))
-        clean = [x for x, s in zip(clean, scores) if s >= low]
-    held, kept = clean[::9], [x for i, x in enumerate(clean) if i % 9]
-    trial = Repairer(CharModel.train([*SEEDS.values(), *kept, *_capitals(kept)]), 0.0)
-    found = [f for x in held[:: max(1, len(held) // 300)] if not x.isascii() and (f := trial.best(x))]
-    gain = max((g for g, _, _ in found), default=0.0)
-    utf8_gain = max((g for g, chain, _ in found if chain.endswith("utf_8 ")), default=0.0)
-    return CharModel.train([*SEEDS.values(), *clean, *_capitals(clean)]), max(LEAST_MARGIN, MARGIN_FACTOR * gain), max(LEAST_UTF8, MARGIN_FACTOR * utf8_gain)
+        median = _median(scores, n)
+        chosen = model, median - 6 * max(150, _median(np.abs(scores - median), n))
+        folds = counted(chosen)
+    pairs = folds.sum(0)
+    cells = np.flatnonzero(pairs)
+    found = tally(_gains, chosen, cells, folds[:, cells])[0]
+    found = found[found <= 2000 * SURE * LEAST_MARGIN + 1]
+    gain, utf8_gain = (max(x.tolist(), default=0) // 2 / 1000 for x in (found, found[found % 2 == 1]))
+    return _model(pairs), max(LEAST_MARGIN, MARGIN_FACTOR * gain), max(LEAST_UTF8, MARGIN_FACTOR * utf8_gain)
+
+
+def train(records: list[str]) -> tuple[CharModel, float, float]:
+    """The model and its margins from a list of texts, garbled ones among them."""
+    lines = clean_lines(records)
+    folds = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FOLDS for x in lines]
+    return _fitted(lambda make, *args: make(*args)([folds, lines]))
 
 
 def fit(tables: list[tuple[DataFrame, str]]):
-    """A broadcast of model and margin (a table of at most ~750 x 750 floats) from (df, text column) each."""
-    records, used = [], 0
-    for df, text_col in tables:
-        for (text,) in bounded_sample(df, [text_col], TRAIN_RECORDS // len(tables)):
-            if used < TRAIN_CHARS:
-                records.append(text)
-                used += len(text)
-    return tables[0][0].sparkSession.sparkContext.broadcast(train(records))
+    """A broadcast of model and margins (a table of at most ~750 x 750 floats) from all rows of (df, text column) each.
+
+    Clean lines, each once however often it occurs, are written once by :func:`cut` and read by each count. Partitions hold
+    one fold each, so that a task sends the pairs of one.
+    """
+    texts = reduce(DataFrame.unionAll, [df.select(F.col(col).alias("text")) for df, col in tables])
+    context, n = texts.sparkSession.sparkContext, FOLDS * -(-texts.rdd.getNumPartitions() // FOLDS)
+    lines = arrow_map(spread(texts), ["text"], "line string", lambda: lambda cols: (clean_lines(cols[0]),))
+    # the hash that deals rows to partitions, their number being a multiple of FOLDS
+    lines = cut(lines.repartition(n, "line").distinct().select(F.pmod(F.hash("line"), F.lit(FOLDS)).alias("fold"), "line"))
+
+    def tally(make, *args):
+        shared = context.broadcast(args)
+        found = arrow_tally(lines, ["fold", "line"], lambda: make(*shared.value))
+        shared.unpersist()
+        return found
+
+    return context.broadcast(_fitted(tally))
 
 
 def repair(df: DataFrame, keys: list[str], text_col: str, fitted) -> DataFrame:
